@@ -106,8 +106,6 @@ def test_buckets_lose_no_link(monkeypatch, large):
 
     for x, y in zip(a.tolist(), b.tolist()):
         parent[root(x)] = root(y)
-    for k in range(10):  # buckets of different keys share no row number: equal fingerprints are one node
-        pass
     want = brute_components(fps)
     groups = collections.defaultdict(set)
     for i, x in fps.items():
@@ -191,7 +189,7 @@ def test_html_articles_of_the_tables(spark):
     pages = {r.page_id: r.html for r in table(spark, SMALL, "pages").collect()}
     for r in queries.op4_html(spark, SMALL).collect():
         body = re.search(r"<article>(.*?)(?:</article>|\Z)", pages[r.page_id], re.S)[1]
-        parts = [" ".join(h.unescape(re.sub(r"<[^>]*>", " " if False else "", p.replace("<br>", " "))).split()) for p in re.split(r"</?(?:p|h1)>", body)]
+        parts = [" ".join(h.unescape(re.sub(r"<[^>]*>", "", p.replace("<br>", " "))).split()) for p in re.split(r"</?(?:p|h1)>", body)]
         assert r.text == "\n\n".join(p for p in parts if p)
 
 
@@ -228,7 +226,7 @@ def test_pii_disguises(text, found):
 
 def test_licenses_against_plain_python(spark):
     docs = {r.doc_id: r.text for r in table(spark, SMALL, "documents").collect()}
-    extra = spark.createDataFrame([(-1, "x MIT license, the Mit-License mit\nLICENSE"), (-2, "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published"), (-3, "permission slips and licences for all"), (-4, "Licensed under CC BY 4.0 and CC BY-NC 4.0.")], "doc_id long, text string")
+    extra = spark.createDataFrame([(-1, "x MIT license, the Mit-License mit\nLICENSE"), (-2, "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published"), (-3, "permission slips and licences for all"), (-5, "MİT License, mIT LICENSE \u212a"), (-4, "Licensed under CC BY 4.0 and CC BY-NC 4.0.")], "doc_id long, text string")
     docs |= {r.doc_id: r.text for r in extra.collect()}
     got = {r.doc_id: r for r in licenses.scan(table(spark, SMALL, "documents").select("doc_id", "text").union(extra)).collect()}
     for i, t in docs.items():
@@ -239,6 +237,9 @@ def test_licenses_against_plain_python(spark):
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(where), min(where, default=None), max(where, default=None))
         assert r.base_labels == ",".join(sorted(k for k, v in at.items() if v))
         more = set()
+        if not re.search("licen|permission|redist|creative|unencum|cc", " ".join(w)):
+            assert r.labels == ""
+            continue
         for name, passage, key in licenses.TEMPLATES:  # every place of every template
             p, q = passage.split(), key.split()
             lead = next(k for k in range(len(p)) if p[k : k + len(q)] == q)
@@ -247,6 +248,7 @@ def test_licenses_against_plain_python(spark):
                 if share >= 0.5 and w[s + lead : s + lead + len(q)] == q:
                     more.add(name)
         assert r.labels == ",".join(sorted(more | {k for k, v in at.items() if v})), t[:200]
+    assert not any("k" in w for w in licenses.VOCABULARY)  # as lower() needs
     assert got[-1].n_base == 3 and got[-2].labels == "gpl,gpl-text" and got[-4].labels == "cc-by-4.0,cc-by-nc-4.0"
 
 
