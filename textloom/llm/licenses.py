@@ -1,10 +1,11 @@
 """License scans, native: a positional index of rare tokens.
 
-Templates are word sequences; their postings say at which place of which template a word stands. A file looks up the RARE
-licence words of it that have the highest inverse document frequency (over all files of the table), and every occurrence of
-them votes for the place at which a template would begin. Where enough votes agree, the template's mandatory key phrase is
-verified at its place. Plain phrases are found beside that, wherever their words stand consecutively. Everything is one
-projection over arrays of a row; only the frequencies of the few template words are gathered.
+Templates are word sequences. For each, the index holds the places of the RARE words of its mandatory key phrase that have the
+highest inverse document frequency over all files of the table. A file looks up its licence words there; every occurrence
+votes for the place at which a template would begin. Where all words of a template agree, its key phrase is verified at its
+place, and so is the share of the whole template. As the voting words are part of the key phrase, no verified place is lost.
+Plain phrases are found beside that, wherever their words stand consecutively. Everything is one projection over arrays of a
+row; only the frequencies of the few template words are gathered.
 
 Null and empty texts have no words, null first and last word, empty labels and score 0.
 """
@@ -36,9 +37,9 @@ TEMPLATES = [
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and or distribute this software"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
 ]
-#: How many different licence words of a file vote, the rarest first; what share of a template must stand in its place.
-RARE, LEAST = 48, 0.5
-VOCABULARY = sorted({w for _, t, _ in TEMPLATES for w in t.split()})
+#: How many words of a key phrase vote; what share of a template must stand in its place.
+RARE, LEAST = 2, 0.5
+VOCABULARY = sorted({w for _, _, key in TEMPLATES for w in key.split()})
 
 
 def _words(low: Column) -> Column:
@@ -65,13 +66,23 @@ def frequencies(docs: DataFrame) -> tuple[int, dict[str, int]]:
     return row[0], dict(zip(VOCABULARY, row[1:]))
 
 
+def postings(df: dict[str, int]) -> dict[str, list[tuple[int, int]]]:
+    """word -> [(template, place)] of the words that vote."""
+    out: dict[str, list[tuple[int, int]]] = {}
+    for k, (_, t, key) in enumerate(TEMPLATES):
+        words, phrase = t.split(), key.split()
+        lead = next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
+        for w in sorted(set(phrase), key=lambda w: (df[w], w))[:RARE]:
+            out.setdefault(w, []).append((k, lead + phrase.index(w)))
+    return out
+
+
 def scan(docs: DataFrame, known: tuple[int, dict[str, int]] | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row of docs. known: frequencies()."""
     _, df = known or frequencies(docs)
-    order = sorted(VOCABULARY, key=lambda w: (df[w], w))  # highest IDF first
-    rank = F.create_map(*(F.lit(x) for k, w in enumerate(order) for x in (w, k)))
-    places = F.create_map(*(x for w in VOCABULARY for x in (F.lit(w), F.array(*(F.struct(F.lit(k).alias("t"), F.lit(p).alias("p")) for k, (_, t, _) in enumerate(TEMPLATES) for p, v in enumerate(t.split()) if v == w)))))
-    need = F.array(*(F.lit(min(2, len(set(t.split())))) for _, t, _ in TEMPLATES))
+    index = postings(df)
+    places = F.create_map(*(x for w, own in sorted(index.items()) for x in (F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in own)))))
+    need = F.array(*(F.lit(sum(t == k for own in index.values() for t, _ in own)) for k in range(len(TEMPLATES))))
 
     rows = texts(docs).select("doc_id", _low(F.col("text")).alias("low"))
     rows = rows.select("doc_id", F.regexp_count("low", F.lit(WORD)).cast("long").alias("n_words"), F.when(_may(F.col("low")), _words(F.col("low"))).otherwise(F.array().cast("array<string>")).alias("words"))
@@ -85,12 +96,10 @@ def scan(docs: DataFrame, known: tuple[int, dict[str, int]] | None = None) -> Da
     rows = rows.select("*", *(at(p).alias(f"p{k}") for k, (p, _) in enumerate(PHRASES)))
     base = F.concat(*(f"p{k}" for k in range(len(PHRASES))))
 
-    # licence words of the file with their places; the rarest vote
-    held = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.map_contains_key(rank, x["w"]))
+    # the file's rare licence words, with their places, vote
+    held = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(*sorted(index)))
     rows = rows.withColumn("held", F.when(F.size("words") > 0, held))
-    rare = F.slice(F.array_sort(F.array_distinct(F.transform("held", lambda x: F.element_at(rank, x["w"])))), 1, RARE)
-    rows = rows.withColumn("rare", rare)
-    votes = F.flatten(F.transform(F.filter("held", lambda x: F.array_contains("rare", F.element_at(rank, x["w"]))), lambda x: F.transform(F.element_at(places, x["w"]), lambda q: F.struct(q["t"].alias("t"), (x["i"] - q["p"]).alias("at")))))
+    votes = F.flatten(F.transform("held", lambda x: F.transform(F.element_at(places, x["w"]), lambda q: F.struct(q["t"].alias("t"), (x["i"] - q["p"]).alias("at")))))
     rows = rows.withColumn("votes", F.array_sort(votes))
     agreed = F.array_distinct(F.filter("votes", lambda v, i: F.get("votes", i + F.element_at(need, v["t"] + 1) - 1) == v))
     rows = rows.withColumn("agreed", agreed)
