@@ -162,10 +162,10 @@ def test_levenshtein_product():
 
 
 def test_quotation_counts_less():
-    lex = toxicity.Lexicon({"idiot"}, {"lowei"})
+    lex = toxicity.Lexicon({"idiot": 1.0}, {"lowei": 1.0})
     weights = lambda t: [h[4] for h in lex.hits(t)[1]]
     assert weights("He is an idiot") == [1.0] and weights('The word "idiot" is old') == [0.25] and weights('"you idiot" she said') == [1.0]
-    assert [h[3] for h in lex.hits("idiot idoit idiott loweischaft other")[1]] == [1, 3, 2] and lex.kind("idoit") == 0
+    assert [h[3] for h in lex.hits("idiot idoit idiott loweischaft other")[1]] == [1, 3, 2] and lex.look_up("idoit")[0] == 0
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>

@@ -14,6 +14,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +22,11 @@ from .common import drop_tables, held_out, labelled_sample, map_batches, materia
 
 #: About so many labelled rows are learned from.
 BOUND = 20_000
-FUZZY_FROM, STEM_FROM, STEM_TO = 5, 4, 7
+FUZZY_FROM, STEM_FROM, STEM_TO = 5, 3, 8
+#: The label's rate among documents that hold a term, at least.
+LEAST = 0.4
+#: What share of the documents with a stem may show the same letter after it.
+BRANCH = 0.7
 WORD = re.compile(r"[^\W\d_]+")
 QUOTED, WINDOW = 0.25, 5
 SPEECH = frozenset("said says wrote writes called calling quote quoted quoting word term insult dit écrit mot sagte schrieb wort dijo escribió palabra".split())
@@ -96,32 +101,32 @@ class Product:
 
 class Lexicon:
     def __init__(self, terms, stems, not_terms=()):
-        self.terms, self.stems, self.not_terms = frozenset(terms), frozenset(stems), frozenset(not_terms)
+        self.terms, self.stems, self.not_terms = dict(terms), dict(stems), frozenset(not_terms)
         self.cuts = sorted({len(s) for s in stems})
-        self.dfa = Product(t for t in sorted(self.terms) if len(t) >= FUZZY_FROM)
+        self.dfa = Product(t for t in sorted(self.terms) if len(t) >= FUZZY_FROM and self.terms[t] > 0.9)  # only sure terms match loosely
 
     def __reduce__(self):
         return Lexicon, (self.terms, self.stems, self.not_terms)
 
-    def kind(self, word: str) -> int:
-        """0 no hit, 1 term, 2 stem, 3 misspelled term."""
+    def look_up(self, word: str) -> tuple[int, float]:
+        """Kind (0 no hit, 1 term, 2 stem, 3 misspelled term) and strength."""
         if word in self.terms:
-            return 1
+            return 1, self.terms[word]
         for n in self.cuts:
-            if word[:n] in self.stems:
-                return 2
-        return 3 if self.dfa.match(word) and word not in self.not_terms else 0
+            if len(word) > n and word[:n] in self.stems:
+                return 2, self.stems[word[:n]]
+        return (3, 1.0) if self.dfa.match(word) and word not in self.not_terms else (0, 0.0)
 
     def hits(self, text: str):
-        """(words in all, [(start, end, word, kind, weight)]): weight is QUOTED for a quoted or reported hit that addresses nobody, else 1."""
+        """(words in all, [(start, end, word, kind, weight)]): weight: the term's strength, times QUOTED for a quoted or reported hit that addresses nobody."""
         low = text.lower()
         words = WORD.findall(low)
-        bad = {w: k for w in set(words) if (k := self.kind(w))}
+        bad = {w: k for w in set(words) if (k := self.look_up(w))[0]}
         found = []
         if bad:
             for m in WORD.finditer(low):
                 if k := bad.get(m[0]):
-                    found.append((m.start(), m.end(), m[0], k, self._weight(low, m.start(), m.end())))
+                    found.append((m.start(), m.end(), m[0], k[0], k[1] * self._weight(low, m.start(), m.end())))
         return len(words), found
 
     @staticmethod
@@ -136,7 +141,21 @@ class Lexicon:
 def features(lexicon: Lexicon, text: str) -> list[float]:
     n, found = lexicon.hits(text)
     by = [sum(h[4] for h in found if h[3] == k) for k in (1, 2, 3)]
-    return [1.0, *map(math.log1p, by), min(1.0, sum(by) / max(n, 1) * 20)]
+    return [1.0, *map(math.log1p, by), min(1.0, sum(by) / max(n, 1) * 20), math.log1p(len({h[2] for h in found}))]
+
+
+def _one_of_each(sample: DataFrame) -> DataFrame:
+    """One text of those near copies that share the least hash of a word pair, so that a much copied text does not make its words terms."""
+
+    def run(ids, ys, values):
+        keys = []
+        for t in values:
+            w = WORD.findall(t.lower())
+            keys.append(min((xxhash.xxh64_intdigest(a + " " + b, 1) for a, b in zip(w, w[1:])), default=xxhash.xxh64_intdigest(t, 2)) >> 1)
+        return ids, ys, values, keys
+
+    rows = map_batches(sample.select("doc_id", "label", "text"), run, "doc_id long, label int, text string, key long")
+    return materialize(rows.groupBy("key", "label").agg(F.min_by("text", "doc_id").alias("text")))
 
 
 def _counts(sample: DataFrame) -> DataFrame:
@@ -146,7 +165,7 @@ def _counts(sample: DataFrame) -> DataFrame:
         n, pos = Counter(), Counter()
         for t, y in zip(values, labels):
             words = set(WORD.findall(t.lower()))
-            got = {"w" + w for w in words} | {"p" + w[:k] for w in words for k in range(STEM_FROM, min(STEM_TO, len(w) - 1) + 1)}
+            got = {"w" + w for w in words} | {"p" + w[:k] for w in words for k in range(STEM_FROM, min(STEM_TO + 1, len(w) - 1) + 1)}
             n.update(got)
             if y:
                 pos.update(got)
@@ -156,22 +175,27 @@ def _counts(sample: DataFrame) -> DataFrame:
     return parts.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
 
 
-def _choose(rows, n_docs: int, n_pos: int, n_features: int) -> tuple[set[str], set[str]]:
+def _choose(rows, n_docs: int, n_pos: int, n_features: int) -> tuple[dict[str, float], dict[str, float]]:
+    """Terms and stems with their strength: how far the label's rate where they stand exceeds its rate at large, 0 to 1."""
     rate = max(n_pos, 1) / max(n_docs, 1)
-    good = {}
+    good = []
     for f, n, pos in rows:
         tail = pos * math.log(rate) + math.lgamma(n + 1) - math.lgamma(pos + 1) - math.lgamma(n - pos + 1)
-        if pos >= 0.9 * n and tail + math.log(n_features) < math.log(0.01):
-            good[f] = n
-    words = {f[1:]: n for f, n in good.items() if f[0] == "w"}
-    starts = {f[1:]: n for f, n in good.items() if f[0] == "p"}
-    stems: set[str] = set()
-    for s in sorted(starts, key=len):
-        if any(s.startswith(x) for x in stems):
+        if pos >= LEAST * n and tail + math.log(n_features) < math.log(0.01):
+            good.append(((pos - n * rate) / math.sqrt(n), f, n, (pos / n - rate) / (1 - rate)))
+    words, stems = {}, {}
+    longer: dict[str, Counter] = {}
+    for f, n, _ in rows:
+        longer.setdefault(f[1:-1], Counter())[f[-1]] += n
+    for _, f, n, strength in sorted(good, key=lambda x: (-x[0], x[1][0] == "p", len(x[1]), x[1])):
+        t = f[1:]
+        if any(t.startswith(x) for x in stems):
             continue
-        if starts[s] >= 1.3 * max([n for w, n in words.items() if w.startswith(s)], default=1):  # a family of words, not one
-            stems.add(max((x for x in starts if x.startswith(s) and starts[x] >= 0.98 * starts[s]), key=len))
-    return {w for w in words if not any(w.startswith(s) for s in stems)}, stems
+        if f[0] == "w":
+            words[t] = strength
+        elif len(t) <= STEM_TO and not any(x.startswith(t) for x in (*stems, *words)) and max(longer.get(t, Counter()).values(), default=0) <= BRANCH * n:  # a family of words that part here, not one word
+            stems[t] = strength
+    return {w: v for w, v in words.items() if not any(w.startswith(x) for x in stems)}, stems
 
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, bound: int = BOUND, label: str = "toxic"):
@@ -180,24 +204,26 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, b
     n_docs, n_pos = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not 0 < n_pos < n_docs:
         drop_tables(sample)
-        return Lexicon((), ()), np.array([30.0 if n_docs and n_pos else -30.0, 0, 0, 0, 0])
-    counts = materialize(_counts(sample))
-    rows = counts.where("pos >= 0.9 * n and n >= 3").collect()  # of a sample of bounded size
+        return Lexicon({}, {}), np.array([30.0 if n_docs and n_pos else -30.0, 0, 0, 0, 0, 0])
+    single = _one_of_each(sample)
+    n_docs, n_pos = single.agg(F.count("*"), F.sum("label")).first()
+    counts = materialize(_counts(single))
+    rows = counts.where(F.col("pos") >= F.greatest(F.lit(3), LEAST * F.col("n"))).collect()  # of a sample of bounded size
     terms, stems = _choose(rows, n_docs, n_pos, counts.count())
     first = Lexicon(terms, stems)
 
     def near(words, ns, poss):
-        keep = [k for k, w in enumerate(words) if first.kind(w) == 3]
+        keep = [k for k, w in enumerate(words) if first.look_up(w)[0] == 3]
         return [words[k] for k in keep], [ns[k] for k in keep], [poss[k] for k in keep]
 
     spelled = map_batches(counts.where("feature like 'w%'").select(F.substring("feature", 2, 1 << 30), "n", "pos"), near, "word string, n long, pos long").collect()
     lexicon = Lexicon(terms, stems, [w for w, n, pos in spelled if n - pos >= 2 and pos < 0.5 * n])
     got = map_batches(sample.select("text", "label"), lambda ts, ys: ([features(lexicon, t) for t in ts], ys), "x array<double>, y int").collect()
     x, y = np.array([r[0] for r in got]), np.array([r[1] for r in got], float)
-    drop_tables(sample)
-    drop_tables(counts)
-    w, ridge = np.zeros(x.shape[1]), np.array([1e-3, 0.5, 0.5, 0.5, 0.5])
-    prior = np.array([0, 2.0, 2.0, 1.5, 0])
+    for t in (sample, single, counts):
+        drop_tables(t)
+    w, ridge = np.zeros(x.shape[1]), np.array([1e-3, 0.5, 0.5, 0.5, 0.5, 0.5])
+    prior = np.array([0, 2.0, 2.0, 1.5, 0, 0])
     w[1:] = prior[1:]
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
