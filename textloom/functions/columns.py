@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SEP = "\x1f"
-#: White space as str.strip and str.splitlines see it.
-SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: White space as str.strip sees it.
+WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def _c(x) -> Column:
@@ -20,7 +20,7 @@ def stable_id(prefix: str, *parts) -> Column:
 
 
 def strip(text) -> Column:
-    return F.regexp_replace(_c(text), rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(_c(text), F.lit(WHITE))
 
 
 def clean_text(text) -> Column:
@@ -28,7 +28,7 @@ def clean_text(text) -> Column:
     t = F.regexp_replace(_c(text), "\r\n?", "\n")
     t = F.regexp_replace(t, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
     t = F.regexp_replace(t, r"[\u0085\u2028\u2029]", "\n")
-    t = F.regexp_replace(t, rf"(?m)(?:(?!\n){SPACE})+$", "")
+    t = F.regexp_replace(t, r"[\t \xa0\u1680\u2000-\u200a\u202f\u205f\u3000]++(?=\n)", "")
     return F.concat(strip(t), F.lit("\n"))
 
 
@@ -40,7 +40,7 @@ def fenced(text, language: str = "") -> Column:
     """A code block whose fence is longer than any run of backticks inside."""
     runs = F.transform(F.regexp_extract_all(_c(text), F.lit("(`+)"), F.lit(1)), F.length)
     fence = F.repeat(F.lit("`"), F.greatest(F.lit(3), F.coalesce(F.array_max(runs), F.lit(0)) + 1))
-    return F.concat(fence, F.lit(language + "\n"), F.regexp_replace(_c(text), rf"{SPACE}+$", ""), F.lit("\n"), fence, F.lit("\n"))
+    return F.concat(fence, F.lit(language + "\n"), F.rtrim(_c(text), F.lit(WHITE)), F.lit("\n"), fence, F.lit("\n"))
 
 
 def table_row(*cells) -> Column:

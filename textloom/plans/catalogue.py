@@ -5,6 +5,7 @@ Driver rows become documents at the path source/lang/doc_N.txt, pages at pages/N
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -487,7 +488,7 @@ def path_claims(spark, sf):
 
 def _corpus(spark, sf):
     d = docs(spark, sf)
-    chunks = chunking.chunk_table(d)
+    chunks = chunking.chunk_table(d).persist(StorageLevel.DISK_ONLY)  # all checks read it
     return manifest_of(d, chunks), chunks, graph.nodes(d, chunks), graph.edges(d, chunks)
 
 

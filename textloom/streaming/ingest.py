@@ -15,7 +15,7 @@ from ..settings import Settings
 
 def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, settings: Settings = Settings(), pattern: str = "*"):
     """Starts the query; it ends when all present files are in. A batch that runs again overwrites its own part only."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
 
     def batch(df: DataFrame, n: int) -> None:
         rows = df.select(F.regexp_replace("path", "^.*/", "").alias("source_path"), "content")
