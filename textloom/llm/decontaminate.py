@@ -95,8 +95,9 @@ class Index:
             keys = np.stack([doc, item, band], 1)
             uniq, inv, cnt = np.unique(keys, axis=0, return_inverse=True, return_counts=True)
             inv = inv.reshape(-1)
+            middle = diag[np.lexsort((diag, inv))[np.cumsum(cnt) - cnt + cnt // 2]]
             for u in np.flatnonzero(cnt >= self.need[uniq[:, 1]]):
-                yield int(uniq[u, 0]), int(uniq[u, 1]), int(np.median(diag[inv == u]))
+                yield int(uniq[u, 0]), int(uniq[u, 1]), int(middle[u])
 
     def matches(self, values: list[str]):
         """{(document number, item number): (edits, start, end)} of the best verified region; offsets of the normalised text."""
