@@ -7,6 +7,9 @@ are verified by XOR and popcount. Buckets above LARGE are cut again on the bits
 pigeonhole argument, so that a group of near copies costs no quadratic work. A bucket gives a tree of links of degree 3 at most,
 which joins the same fingerprints as all its links do. Components come from minimum labels passed along the trees, with pointer
 jumps; every round is written to the shared folder.
+
+keep_first, the pipeline's stage, has a rule of its own: 5-word shingles and a Jaccard similarity of 0.8 or more, which SimHash
+would need over 20 of 64 bits for. Bands of minimum hashes bring candidates together; their groups are then joined exactly.
 """
 
 from __future__ import annotations
@@ -28,6 +31,10 @@ _MASKS = [((1 << BLOCKS[a][1]) - 1) << BLOCKS[a][0] | ((1 << BLOCKS[b][1]) - 1)
 _FULL = (1 << 64) - 1
 #: Reference fingerprints: fixed, spread over the cube.
 PIVOTS = np.array([xxhash.xxh64_intdigest(b"pivot%d" % k, 7) for k in range(16)], np.uint64)
+#: keep_first: words of a shingle, and bands of minimum hashes; all bands miss a pair of similarity 0.8 with a chance of (1 - 0.8**5)**52 = 1e-9.
+COPY_WORDS = 5
+BANDS, ROWS = 52, 5
+_FACTORS = np.array([xxhash.xxh64_intdigest(b"row%d" % k, 7) | 1 for k in range(BANDS * ROWS)], np.uint64)
 
 
 def fingerprint(text: str) -> int:
@@ -207,9 +214,125 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return fps.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: str) -> np.ndarray:
+    """The distinct XXH64 of 5-word shingles, ascending; a shorter text is one shingle, a text without words holds none."""
+    w = text.encode("utf-8", "surrogatepass").lower().split()
+    h = xxhash.xxh64_intdigest
+    hashes = [h(s, 42) for s in map(b" ".join, zip(w, w[1:], w[2:], w[3:], w[4:]))] if len(w) >= COPY_WORDS else [h(b" ".join(w), 42)] if w else []
+    return np.unique(np.array(hashes, np.uint64))
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """A key for each of BANDS groups of ROWS minimum hashes."""
+    low = np.full(BANDS * ROWS, _FULL, np.uint64)
+    for at in range(0, len(shingles), 1024):
+        low = np.minimum(low, (_FACTORS[:, None] * shingles[None, at : at + 1024]).min(1))
+    rows = low.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(rows)], np.uint64).view(np.int64)
+
+
+def _identity(shingles: np.ndarray) -> int:
+    return int(np.array(xxhash.xxh64_intdigest(shingles.tobytes(), 7), np.uint64).view(np.int64))
+
+
+def similar_sets(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set the smallest number of a set that it is joined with over pairs of Jaccard similarity 0.8 or more; no pair is left out.
+
+    Two such sets share one of the rarest fifth of their shingles (prefix filter), and each pair that does is counted out, unless
+    it is joined already.
+    """
+    up = [*range(len(sets))]
+
+    def root(k):
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    _, token, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    parts = np.split(token, np.cumsum([len(x) for x in sets])[:-1])
+    index: dict[int, list[int]] = {}
+    for i in sorted(range(len(sets)), key=lambda k: len(sets[k])):
+        n, mine = len(sets[i]), parts[i]
+        prefix = mine[np.lexsort((mine, often[mine]))][: n - (4 * n + 4) // 5 + 1]
+        prefix = prefix[often[prefix] > 1].tolist()
+        for j in {j for t in prefix for j in index.get(t, ())}:
+            m = len(sets[j])
+            if 5 * m >= 4 * n and (a := root(i)) != (b := root(j)):
+                both = len(np.intersect1d(mine, parts[j], assume_unique=True))
+                if 9 * both >= 4 * (n + m):  # both / (n + m - both) >= 4 / 5
+                    up[max(a, b)] = min(a, b)
+        for t in prefix:
+            index.setdefault(t, []).append(i)
+    return np.array([root(k) for k in range(len(sets))])
+
+
+def _bucket_stars(dealt: DataFrame) -> DataFrame:
+    """a, b: the smallest node of each bucket (column at) and each other one."""
+
+    def run(batches):
+        at = hub = None
+        for b in batches:
+            keys, nodes = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            if not len(keys):
+                continue
+            new = np.r_[at is None or keys[0] != at, keys[1:] != keys[:-1]]
+            hubs = np.where(new, nodes, 0)
+            if not new[0]:
+                hubs[0] = hub
+            hubs = hubs[np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))]
+            at, hub = keys[-1], hubs[-1]
+            m = hubs != nodes
+            yield pa.RecordBatch.from_arrays([pa.array(hubs[m]), pa.array(nodes[m])], names=["a", "b"])
+
+    return dealt.repartition("at").sortWithinPartitions("at", "node").mapInArrow(run, "a long, b long").distinct()
+
+
+def _copies(members: DataFrame) -> DataFrame:
+    """node: those of members (label, node, first, text; all of one label in one task) that are joined with one of a smaller first."""
+
+    def judged(rows):
+        sets = [shingle_set(t) for _, _, t in rows]
+        rows = sorted({n: (f, n, s) for (n, f, _), s in zip(rows, sets) if _identity(s) == n}.values(), key=lambda r: r[:2])
+        return [r[1] for k, r in zip(similar_sets([r[2] for r in rows]), rows) if rows[k][1] != r[1]] if len(rows) > 1 else []
+
+    def run(batches):
+        label, rows = None, []
+        for b in batches:
+            out = []
+            for at, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if at != label:
+                    out += judged(rows)
+                    label, rows = at, []
+                rows.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["node"])
+        yield pa.RecordBatch.from_arrays([pa.array(judged(rows), pa.int64())], names=["node"])
+
+    return members.repartition("label").sortWithinPartitions("label").mapInArrow(run, "node long")
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs, one for each component: that with the smallest id. Of rows that repeat an id, one stays; rows without an id all stay."""
-    first = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    """The rows of docs, one for each group of near copies: that with the smallest id.
+
+    Near copies: a Jaccard similarity of 0.8 or more between the sets of 5-word shingles, and what such pairs join. Of rows that
+    repeat an id, one stays; rows without an id all stay and join nothing.
+    """
+
+    def sketch(ids, values):
+        sets = [shingle_set(t) for t in values]
+        return ids, [_identity(s) for s in sets], [band_keys(s) if len(s) else [] for s in sets]
+
     own = docs.where(F.col(id_col).isNotNull())
+    plain = texts(own, id_col)
+    sketches = materialize(map_batches(plain, sketch, "doc_id long, node long, bands array<long>"))
+    classes = materialize(sketches.groupBy("node").agg(F.min("doc_id").alias("first")))
+    # Equal sets have equal bands: those of one row that carries the smallest id stand for all.
+    dealt = sketches.join(classes, (sketches.node == classes.node) & (sketches.doc_id == classes["first"]), "left_semi").select(F.explode("bands").alias("at"), "node")
+    edges = materialize(_bucket_stars(dealt))
+    labels = components(edges)
+    members = labels.join(classes, "node").select("label", "node", "first")
+    members = members.join(plain, members["first"] == plain.doc_id).select("label", "node", "first", "text")
+    copies = materialize(_copies(members))
+    first = classes.join(copies, "node", "left_anti").select(F.col("first").alias("_kept")).distinct()
     kept = own.join(first, own[id_col] == first["_kept"], "left_semi").dropDuplicates([id_col])
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
