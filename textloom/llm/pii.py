@@ -37,8 +37,6 @@ _AT = r"\s*[\[({<]\s*(?:at|ät|arroba|arobase)\s*[\])}>]\s*|\s+(?:AT|arroba|arob
 _DOT = r"\s*[\[({<]\s*(?:dot|punkt|point|punto)\s*[\])}>]\s*|\s+(?:dot|punkt|punto|point)\s+|\."
 DISGUISED = re.compile(rf"(?<![\w.])([A-Za-z0-9_%+-]+(?:(?:{_DOT})[A-Za-z0-9_%+-]+){{0,3}})({_AT})([A-Za-z0-9-]+(?:(?:{_DOT})[A-Za-z0-9-]+){{0,3}}(?:{_DOT})(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu|co|ch|at|it|nl|us|ca|dev|me|biz))(?![\w])")
 _DOTS = re.compile(_DOT)
-#: Without one of these no transducer changes anything that can turn into an identifier.
-_CUES = re.compile(rf"(?<!\w)(?:{_NUMBER})[\s,-]+(?:{_NUMBER}|[0-9])|[\[({{<]\s*(?:at|ät|arroba|arobase|dot|punkt|point|punto)\s*[\])}}>]|\s(?:dot|punkt|punto|point)\s+\w", re.I)
 _FORMS = re.compile("[" + re.escape("".join(HOMOGLYPHS)) + "".join(IGNORED) + "＀-￯⁰-ₜ①-⓿。\U0001d400-\U0001d7ff٠-٩۰-۹०-९]")
 
 
@@ -84,19 +82,21 @@ class Tape:
 
     def __init__(self, text: str, starts=None, ends=None):
         self.text = text
-        self.starts = list(range(len(text))) if starts is None else starts
-        self.ends = list(range(1, len(text) + 1)) if ends is None else ends
+        self.starts = range(len(text)) if starts is None else starts
+        self.ends = range(1, len(text) + 1) if ends is None else ends
 
     def rewrite(self, edits) -> Tape:
         """edits: (start, end, new) of this text, ascending and apart; each new character stands for the whole replaced span."""
+        if not edits:
+            return self
         out, starts, ends, pos = [], [], [], 0
         for a, b, new in edits:
             out += [self.text[pos:a], new]
             s, e = (self.starts[a], self.ends[b - 1])
-            starts += self.starts[pos:a] + [s] * len(new)
-            ends += self.ends[pos:a] + [e] * len(new)
+            starts += [*self.starts[pos:a], *[s] * len(new)]
+            ends += [*self.ends[pos:a], *[e] * len(new)]
             pos = b
-        return Tape("".join(out) + self.text[pos:], starts + self.starts[pos:], ends + self.ends[pos:])
+        return Tape("".join(out) + self.text[pos:], [*starts, *self.starts[pos:]], [*ends, *self.ends[pos:]])
 
 
 def _forms(t: Tape) -> Tape:
@@ -136,11 +136,8 @@ def _addresses(t: Tape) -> Tape:
 def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, base and added spans), both by kind, then start."""
     base = base_spans(text)
-    odd = not text.isascii() and _FORMS.search(text)
-    if not odd and not _CUES.search(text):
-        return base, base
     tape = Tape(text)
-    if odd:
+    if not text.isascii():
         tape = _forms(tape)
     tape = _addresses(_digits(tape))
     if tape.text == text:
