@@ -31,12 +31,26 @@ HOMOGLYPHS |= dict.fromkeys("‐‑‒–—−", "-") | {"․": ".", "。": "."
 IGNORED = frozenset("​‌‍⁠﻿­")
 DIGITS = {w: str(k) for words in ("zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun", "zéro un deux trois quatre cinq six sept huit neuf", "cero uno dos tres cuatro cinco seis siete ocho nueve") for k, w in enumerate(words.split())} | {"oh": "0"}
 _NUMBER = "|".join(sorted(DIGITS, key=len, reverse=True))
-SPELLED = re.compile(rf"(?<!\w)(?:plus[\s,-]+)?(?:{_NUMBER})(?:[\s,-]+(?:{_NUMBER}|[0-9]+))+(?!\w)", re.I)
-_PIECE = re.compile(rf"plus|{_NUMBER}|[0-9]+", re.I)
-_AT = r"\s*[\[({<]\s*(?:at|ät|arroba|arobase)\s*[\])}>]\s*|\s+(?:AT|arroba|arobase)\s+|\s+at\s+|\s*@\s*"
+_WORD = rf"(?:{_NUMBER})(?!\w)"
 _DOT = r"\s*[\[({<]\s*(?:dot|punkt|point|punto)\s*[\])}>]\s*|\s+(?:dot|punkt|punto|point)\s+|\."
-DISGUISED = re.compile(rf"(?<![\w.])([A-Za-z0-9_%+-]+(?:(?:{_DOT})[A-Za-z0-9_%+-]+){{0,3}})({_AT})([A-Za-z0-9-]+(?:(?:{_DOT})[A-Za-z0-9-]+){{0,3}}(?:{_DOT})(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu|co|ch|at|it|nl|us|ca|dev|me|biz))(?![\w])")
-_DOTS = re.compile(_DOT)
+_SPELLED_DOT = _DOT.removesuffix(r"|\.")
+#: Numbers in words and digits, joined by space, punctuation or spelled dots.
+SPELLED = re.compile(rf"(?<!\w)(?:plus[\s,-]+|\+[\s(]*)?(?:{_WORD}|[0-9]++)(?:(?:{_SPELLED_DOT}|[\s,().-]++)(?:{_WORD}|[0-9]++))+(?!\w)", re.I)
+_OCTET = rf"(?:[0-9]++|{_WORD}(?:[\s,-]+{_WORD}){{0,2}})"
+QUAD = re.compile(rf"(?<![\w.+]){_OCTET}(?:(?:{_DOT}){_OCTET}){{3}}(?!\w)", re.I)
+_TAIL = re.compile(rf"[0-9]\)?(?:{_DOT})$", re.I)
+_PIECE = re.compile(rf"\+|(?<!\w)(?:plus(?!\w)|{_WORD})|[0-9]+", re.I)
+_AT = re.compile(r"[\[({<]\s*(?:at|ät|arroba|arobase)\s*[\])}>]|@|(?<=\s)(?:at|arroba|arobase)(?=\s)", re.I)
+_HOST = re.compile(rf"[A-Za-z0-9-]+(?:(?:{_DOT})[A-Za-z0-9-]+)+", re.I)
+_NAME = "[A-Za-z0-9_%+-]+"
+#: A local part from its end on, in reversed text.
+_LOCAL = re.compile(rf"{_NAME}(?:(?:\s*[\])}}>]\s*(?:tod|tknup|tniop|otnup)\s*[\[({{<]\s*|\s+(?:tod|tknup|otnup|tniop)\s+|\.){_NAME})*", re.I)
+_DOTS = re.compile(_DOT, re.I)
+_SPACE = re.compile(r"\s*")
+_TOP = re.compile(r"[A-Za-z]{2,}(?!\w)")
+#: Top-level domains that make a bare "at" an address where the rest reads like prose.
+_COMMON = frozenset("com org net edu gov info io de fr es uk eu co ch at it nl us ca dev me biz".split())
+_PROSE = frozenset("the a an this that these those some any each every one no what which my your his her its our their".split())
 _FORMS = re.compile("[" + re.escape("".join(HOMOGLYPHS)) + "".join(IGNORED) + "＀-￯⁰-ₜ①-⓿。\U0001d400-\U0001d7ff٠-٩۰-۹०-९]")
 
 
@@ -109,28 +123,79 @@ def _forms(t: Tape) -> Tape:
     return t.rewrite(edits)
 
 
+def _joined(m, at: int) -> list[tuple[int, int, str]]:
+    """Edits that leave of a match its digits, with the plus before them; each piece takes what follows it up to the next."""
+    pieces = [*_PIECE.finditer(m)]
+    ends = [p.start() for p in pieces[1:]] + [pieces[-1].end()]
+    return [(at + p.start(), at + e, "+" if p[0].lower() == "plus" else DIGITS.get(p[0].lower(), p[0])) for p, e in zip(pieces, ends)]
+
+
 def _digits(t: Tape) -> Tape:
-    edits = []
-    for m in SPELLED.finditer(t.text):
-        pieces = [*_PIECE.finditer(m[0])]
-        digits = "".join(DIGITS.get(p[0].lower(), p[0] if p[0].isdigit() else "") for p in pieces)
-        if len(digits) >= 8:  # a number, not a count in prose
-            at, plus = m.start(), pieces[0][0].lower() == "plus"
-            edits += [(at + p.start(), at + p.end() if k + 1 == len(pieces) else at + pieces[k + 1].start(), "+" if plus and k == 0 else DIGITS.get(p[0].lower(), p[0])) for k, p in enumerate(pieces)]
+    edits, pos = [], 0
+
+    def numbers(start: int, end: int) -> None:
+        for m in SPELLED.finditer(t.text, start, end):
+            new = _joined(m[0], m.start())
+            digits = sum(len(x) for *_, x in new if x != "+")
+            if digits >= 8 and not re.fullmatch(r"[0-9\s,().+-]+", m[0]):  # a number, not a count in prose
+                edits.extend(new)
+
+    for m in QUAD.finditer(t.text):
+        new, at = [], m.start()
+        if _TAIL.search(t.text[max(0, at - 12) : at]):
+            continue  # the end of a longer chain, as of a phone number
+        dots = [*_DOTS.finditer(m[0])]
+        for a, b in zip([0, *(d.end() for d in dots)], [*(d.start() for d in dots), len(m[0])]):
+            new += _joined(m[0][a:b], at + a)
+        new = sorted([*new, *((at + d.start(), at + d.end(), ".") for d in dots)])
+        if all(int(x[-4:]) <= 255 for x in "".join(x for *_, x in new).split(".")):
+            numbers(pos, at)
+            edits += [e for e in new if e[2] != t.text[e[0] : e[1]]]
+            pos = m.end()
+    numbers(pos, len(t.text))
     return t.rewrite(edits)
 
 
+def _prose(at: str, name: str, labels: list[str], dots: list[str]) -> bool:
+    """Whether a bare "at" between these is a word of a sentence: "look at example.com", "look at the point where"."""
+    common = labels[-1].lower() in _COMMON
+    spelled = [d.strip().lower() for d in dots if d != "."]
+    if any(d[0] in "[({<" for d in spelled):
+        return False
+    if not spelled:
+        return at != "AT" or not common and name == name.upper()
+    return not common and ("point" in spelled or labels[0].lower() in _PROSE)
+
+
 def _addresses(t: Tape) -> Tape:
-    edits = []
-    for m in DISGUISED.finditer(t.text):
-        if re.fullmatch(r"\s+at\s+", m[2]) and not re.search(r"\w\s+(?:dot|punkt|punto|point)\s+\w|[\[({<]", m[3]):
-            continue  # prose: "look at example.com"
-        for group in (1, 3):
-            s = m.start(group)
-            edits += [(s + d.start(), s + d.end(), ".") for d in _DOTS.finditer(m[group]) if d[0] != "."]
-        if m[2] != "@":
-            edits.append((m.start(2), m.end(2), "@"))
-    return t.rewrite(sorted(edits))
+    edits, done, text, turned = [], 0, t.text, None
+    for m in _AT.finditer(text):
+        a, b = m.span()
+        host = _HOST.match(text, _SPACE.match(text, b).end())
+        if not host:
+            continue
+        while a > done and text[a - 1].isspace():
+            a -= 1
+        turned = text[::-1] if turned is None else turned
+        name = _LOCAL.match(turned, len(text) - a, len(text) - done)
+        if not name:
+            continue
+        dots = [*_DOTS.finditer(host[0])]
+        tops = [k for k, d in enumerate(dots) if _TOP.match(text, host.start() + d.end())]
+        if not tops:
+            continue
+        dots = dots[: tops[-1] + 1]
+        cuts = [0, *(d.end() for d in dots)]
+        labels = [host[0][x:y] for x, y in zip(cuts, [*(d.start() for d in dots), cuts[-1] + len(_TOP.match(text, host.start() + cuts[-1])[0])])]
+        if m[0].lower() == "at" and _prose(m[0], name[0][::-1], labels, [d[0] for d in dots]):
+            continue
+        start = len(text) - name.end()
+        edits += [(start + d.start(), start + d.end(), ".") for d in _DOTS.finditer(text[start:a]) if d[0] != "."]
+        if (a, host.start()) != m.span() or m[0] != "@":
+            edits.append((a, host.start(), "@"))
+        edits += [(host.start() + d.start(), host.start() + d.end(), ".") for d in dots if d[0] != "."]
+        done = host.start() + cuts[-1] + len(labels[-1])
+    return t.rewrite(edits)
 
 
 def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -142,13 +207,14 @@ def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, in
     tape = _addresses(_digits(tape))
     if tape.text == text:
         return base, base
-    taken = [(a, b) for _, a, b in base]
-    added = []
+    taken, added = bytearray(len(text)), []
+    for _, a, b in base:
+        taken[a:b] = b"\1" * (b - a)
     for kind, a, b in base_spans(tape.text):
         s, e = tape.starts[a], tape.ends[b - 1]
-        if not any(s < y and x < e for x, y in taken):
+        if 1 not in taken[s:e]:
             added.append((kind, s, e))
-            taken.append((s, e))
+            taken[s:e] = b"\1" * (e - s)
     return base, sorted(base + added, key=lambda x: (KINDS.index(x[0]), x[1]))
 
 
