@@ -13,6 +13,7 @@ import pytest
 from textloom.llm import decontaminate, html, licenses, media, packing, pii, queries, simhash, toxicity
 from textloom.llm.common import table
 
+from tests.llm.test_near_copies import brute_kept
 from tests.conftest import SMALL, TINY
 
 
@@ -94,9 +95,33 @@ def test_buckets_lose_no_link(monkeypatch, large):
         for _ in range(rng.randint(1, 6)):
             x ^= 1 << rng.randrange(64)
         fps[len(fps)] = x
-    f = np.array([*fps.values()], np.uint64)
-    which = np.repeat(np.arange(10), len(f))
-    a, b = simhash.bucket_links(np.tile(f, 10), which)
+    f = np.unique(np.array([*fps.values()], np.uint64))
+    pairs = []
+    for mask in simhash._MASKS:
+        _, of = np.unique(f & np.uint64(mask), return_inverse=True)
+        for k in range(of.max() + 1):
+            a, b = simhash.bucket_links(f[of == k], simhash._FULL & ~mask)
+            pairs += zip(a.tolist(), b.tolist())
+    assert_joins(fps, pairs)
+
+
+def test_hot_buckets_are_dealt_out_before_tasks_see_them(spark):
+    rng = random.Random(5)
+    fps = {0: rng.getrandbits(64), 1: rng.getrandbits(64)}
+    while len(fps) < 700:
+        x = rng.choice([*fps.values()])
+        for _ in range(rng.randint(1, 5)):
+            x ^= 1 << rng.randrange(64)
+        fps[len(fps)] = x
+    f = np.unique(np.array([*fps.values()], np.uint64)).view(np.int64).tolist()
+    classes = spark.createDataFrame([(x,) for x in f], "fp long")
+    sizes = [r["count"] for r in simhash._dealt(classes, 30).groupBy("at").count().collect()]
+    assert max(sizes) <= 30
+    assert_joins(fps, [(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash._links(classes, 30).collect()])
+
+
+def assert_joins(fps, pairs):
+    f = [*fps.values()]
     parent = {int(x): int(x) for x in f}
 
     def root(x):
@@ -104,7 +129,7 @@ def test_buckets_lose_no_link(monkeypatch, large):
             x = parent[x]
         return x
 
-    for x, y in zip(a.tolist(), b.tolist()):
+    for x, y in pairs:
         parent[root(x)] = root(y)
     want = brute_components(fps)
     groups = collections.defaultdict(set)
@@ -362,8 +387,7 @@ def test_pipeline_stages(spark):
         before, after = {r.doc_id: r for r in docs.collect()}, out.collect()
         kept = {r.doc_id for r in after}
         if name == "near_dedup":
-            fps = {i: simhash.fingerprint(r.text) for i, r in before.items()}
-            assert kept == {i for i, c in brute_components(fps).items() if i == c}
+            assert kept == brute_kept({i: r.text for i, r in before.items()})
         elif name == "decontaminate":
             bench = [decontaminate.normal(r.text) for r in table(spark, TINY, "benchmark").collect()]
             assert not {i for i in kept if any(b in decontaminate.normal(before[i].text) for b in bench)} and len(kept) > 0.9 * len(before)

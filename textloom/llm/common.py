@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -19,13 +20,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Paths that materialize() has written since the innermost scratch() began.
+_written: list[set[str]] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of this machine where the session has none (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A local session without one (tests) gets a temporary folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = have.get() if have.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='textloom-')}"
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -35,16 +42,45 @@ def materialize(df: DataFrame) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts the lineage and survives the loss of executors."""
     path = f"{shared_folder(df.sparkSession)}/textloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _written:
+        _written[-1].add(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    for paths in _written:
+        paths.discard(path)
+
+
 def drop_tables(df: DataFrame) -> None:
     """Deletes the written table behind df, if materialize() made it."""
-    jvm, spark = df.sparkSession._jvm, df.sparkSession
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/textloom-" in path:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(df.sparkSession, path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the tables written inside when it ends, but for those passed to the function it gives."""
+    _written.append(set())
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        stay = {f"/{f.rsplit('/', 2)[-2]}" for df in kept for f in df.inputFiles()}
+        for path in list(_written[-1]):
+            if not path.endswith(tuple(stay)):
+                _delete(spark, path)
+        over = _written.pop()
+        if _written:
+            _written[-1] |= over
 
 
 def map_batches(df: DataFrame, fn, schema: T.StructType | str) -> DataFrame:
@@ -67,6 +103,11 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
 
+def sample_cut(rows: int, bound: int) -> int:
+    """Hashes of 62 bits below it: about `bound` of so many rows, at any number of rows."""
+    return (1 << 62) if rows <= bound else (bound << 62) // rows
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, bound: int) -> DataFrame:
     """(doc_id, text, label): about `bound` labelled rows outside the held-out fold, by a hash of doc_id.
 
@@ -74,9 +115,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
     rows = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & (fold != held))
-    n = max(1, rows.count())
-    span = 1 << 20
-    keep = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(span)) < min(span, span * bound // n)).groupBy("doc_id").agg(F.max("label").alias("label"))
+    at = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "doc_id"), 2)
+    keep = rows.where(at < F.lit(sample_cut(rows.count(), bound))).groupBy("doc_id").agg(F.max("label").alias("label"))
     return texts(docs).join(F.broadcast(keep), "doc_id")  # about `bound` rows of two numbers
 
 

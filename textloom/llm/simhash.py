@@ -8,8 +8,9 @@ pigeonhole argument, so that a group of near copies costs no quadratic work. A b
 which joins the same fingerprints as all its links do. Components come from minimum labels passed along the trees, with pointer
 jumps; every round is written to the shared folder.
 
-keep_first, the pipeline's stage, has a rule of its own: 5-word shingles and a Jaccard similarity of 0.8 or more, which SimHash
-would need over 20 of 64 bits for. Bands of minimum hashes bring candidates together; their groups are then joined exactly.
+Tasks read their buckets one after the other. A bucket above HOT fingerprints is dealt out anew, before any task sees it, to four
+buckets on its free bits, and so on down, so no task holds more of one. The pipeline's stage, with the rule of 5 words and 0.8,
+is near_copies.keep_first.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_tables, map_batches, materialize, texts
+from .common import drop_tables, map_batches, materialize, scratch, texts
 
 RADIUS = 3
 #: Five blocks of bits; a bucket key is two of them.
@@ -31,10 +32,8 @@ _MASKS = [((1 << BLOCKS[a][1]) - 1) << BLOCKS[a][0] | ((1 << BLOCKS[b][1]) - 1)
 _FULL = (1 << 64) - 1
 #: Reference fingerprints: fixed, spread over the cube.
 PIVOTS = np.array([xxhash.xxh64_intdigest(b"pivot%d" % k, 7) for k in range(16)], np.uint64)
-#: keep_first: words of a shingle, and bands of minimum hashes; all bands miss a pair of similarity 0.8 with a chance of (1 - 0.8**5)**52 = 1e-9.
-COPY_WORDS = 5
-BANDS, ROWS = 52, 5
-_FACTORS = np.array([xxhash.xxh64_intdigest(b"row%d" % k, 7) | 1 for k in range(BANDS * ROWS)], np.uint64)
+#: Fingerprints of a bucket that one task holds at most (about 60 bytes each while it works), and rows that a task is dealt.
+HOT, DEALT = 1_000_000, 4_000_000
 
 
 def fingerprint(text: str) -> int:
@@ -132,44 +131,90 @@ def _link(fp: np.ndarray, group: np.ndarray, free: int, sets: _Sets, rows: np.nd
             sets.unite(rows[k], rows[k + step])
 
 
-def bucket_links(fps: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tree links (parent, child) that join what pairs within RADIUS in the same bucket join. which: the number of the block pair."""
+def bucket_links(fps: np.ndarray, free: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tree links (parent, child) that join what pairs within RADIUS join among the distinct fps, which differ in free bits only."""
     sets = _Sets(len(fps))
-    for k, mask in enumerate(_MASKS):
-        rows = np.flatnonzero(which == k)
-        if len(rows) > 1:
-            f = fps[rows]
-            _, key = np.unique(f & np.uint64(mask), return_inverse=True)
-            multi = np.bincount(key)[key] > 1
-            _link(f[multi], key[multi], _FULL & ~mask, sets, rows[multi])
+    _link(fps, np.zeros(len(fps), int), free, sets, np.arange(len(fps)))
     root = sets.roots()
     order = np.lexsort((fps, root))  # members of a set stand together, smallest fingerprint first
     r = root[order]
-    start = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.zeros(0, int)
-    place = np.arange(len(r)) - np.repeat(start, np.diff(np.r_[start, len(r)])) if len(r) else r
+    start = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+    place = np.arange(len(r)) - np.repeat(start, np.diff(np.r_[start, len(r)]))
     child = np.flatnonzero(place > 0)
     parent = child - place[child] + (place[child] - 1) // 2
     return fps[order[parent]], fps[order[child]]
 
 
-def _links(fps: DataFrame) -> DataFrame:
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _parts(free: int) -> list[int]:
+    """What stays free in each of the four buckets that take over from one: a pair differs in 3 bits at most, so one of four parts agrees."""
+    places = [k for k in range(64) if free >> k & 1]
+    return [free & ~sum(1 << int(k) for k in part) for part in np.array_split(places, RADIUS + 1)]
+
+
+def _dealt(classes: DataFrame, hot: int) -> DataFrame:
+    """fp, free, at: every fingerprint in its buckets, none of which holds more than `hot`."""
+
+    def keyed(df: DataFrame, frees: list[int], *under) -> DataFrame:
+        of = [F.struct(F.lit(_signed(f)).alias("free"), F.xxhash64(*under, F.lit(f"{f:x}"), F.col("fp").bitwiseAND(F.lit(_signed(_FULL & ~f)))).alias("at")) for f in frees]
+        return df.select("fp", F.explode(F.array(*of)).alias("k")).select("fp", "k.free", "k.at")
+
+    now, out, level = keyed(classes.select("fp"), [_FULL & ~m for m in _MASKS]), [], [_FULL & ~m for m in _MASKS]
+    while True:
+        sizes = now.groupBy("at").count()
+        level = [f for f in dict.fromkeys(level) if f.bit_count() > RADIUS + 1]
+        large = sizes.where(F.col("count") > hot).select("at")
+        if not level or not large.limit(1).count():
+            out.append(now)
+            break
+        large = materialize(large)
+        out.append(now.join(large, "at", "left_anti"))
+        again = now.join(large, "at").where(F.col("free").isin([_signed(f) for f in level]))
+        out.append(now.join(large, "at").where(~F.col("free").isin([_signed(f) for f in level])))  # as small as they get: 2**4 fingerprints at most
+        now = materialize(_union([keyed(again.where(F.col("free") == _signed(f)), _parts(f), F.col("at")) for f in level]))
+        level = [g for f in level for g in _parts(f)]
+    return _union(out)
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    first, *rest = frames
+    for df in rest:
+        first = first.unionByName(df)
+    return first
+
+
+def _links(classes: DataFrame, hot: int) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp)."""
-    key = [F.struct(F.lit(k).alias("pair"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("bits")) for k, m in enumerate(_MASKS)]
-    dealt = fps.select("fp", F.explode(F.array(*key)).alias("k")).select("fp", "k.pair", F.xxhash64("k.pair", "k.bits").alias("at"))
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(n, "at").select("fp", "pair")
+    spark = classes.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), classes.count() * len(PAIRS) // DEALT + 1)
+    dealt = _dealt(classes, hot).repartition(n, "at").sortWithinPartitions("at")
 
     def run(batches):
-        f, p = [], []
-        for b in batches:  # the distinct fingerprints of one partition's buckets: 9 bytes each
-            f.append(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-            p.append(b.column(1).to_numpy(zero_copy_only=False).astype(np.int8))
-        if f:
-            a, b = bucket_links(np.concatenate(f), np.concatenate(p))
-            m = a != b  # a fingerprint that stands in several buckets of one partition
-            yield pa.RecordBatch.from_arrays([pa.array(a[m].view(np.int64)), pa.array(b[m].view(np.int64))], names=["a", "b"])
+        held: list = []  # of the bucket that the last batch ended in
+
+        def links(parts):
+            f = np.unique(np.concatenate([p[0] for p in parts]))
+            return bucket_links(f, int(parts[0][1])) if len(f) > 1 else (f[:0], f[:0])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+        for b in batches:
+            f, free, at = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            f, free = f.view(np.uint64), free.view(np.uint64)
+            edges = np.r_[0, np.flatnonzero(at[1:] != at[:-1]) + 1, len(at)]
+            got = []
+            for x, y in zip(edges, edges[1:]):
+                if held and held[0][2] != at[x]:
+                    got.append(links(held))
+                    held = []
+                held.append((f[x:y], free[x], at[x]))
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in zip(*got)], names=["a", "b"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in links(held)], names=["a", "b"])
+
+    return dealt.select("fp", "free", "at").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -194,145 +239,28 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable over links of 3 bits or fewer).
 
-    Documents without words have fingerprint zero and are
-    linked like any other; equal rows fall into one component; an empty table gives none; null doc_ids are kept and never
-    smallest.
-    """
-    fps = materialize(fingerprints(docs))
-    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    edges = materialize(_links(classes.select("fp")))
-    labels = components(edges)
-    linked = classes.join(labels, classes.fp == labels.node, "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    low = linked.groupBy("label").agg(F.min("first").alias("component_id"))
-    # Only linked classes need another's smallest doc_id; their labels are salted, as one may hold very many classes.
-    multi = low.join(labels.select("label").distinct(), "label")
-    salted = multi.select("label", "component_id", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
-    of = materialize(linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(16)).cast("int")).join(salted, ["label", "salt"], "left").select("fp", F.coalesce("component_id", "first").alias("component_id")))
-    return fps.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def shingle_set(text: str) -> np.ndarray:
-    """The distinct XXH64 of 5-word shingles, ascending; a shorter text is one shingle, a text without words holds none."""
-    w = text.encode("utf-8", "surrogatepass").lower().split()
-    h = xxhash.xxh64_intdigest
-    hashes = [h(s, 42) for s in map(b" ".join, zip(w, w[1:], w[2:], w[3:], w[4:]))] if len(w) >= COPY_WORDS else [h(b" ".join(w), 42)] if w else []
-    return np.unique(np.array(hashes, np.uint64))
-
-
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """A key for each of BANDS groups of ROWS minimum hashes."""
-    low = np.full(BANDS * ROWS, _FULL, np.uint64)
-    for at in range(0, len(shingles), 1024):
-        low = np.minimum(low, (_FACTORS[:, None] * shingles[None, at : at + 1024]).min(1))
-    rows = low.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(rows)], np.uint64).view(np.int64)
-
-
-def _identity(shingles: np.ndarray) -> int:
-    return int(np.array(xxhash.xxh64_intdigest(shingles.tobytes(), 7), np.uint64).view(np.int64))
-
-
-def similar_sets(sets: list[np.ndarray]) -> np.ndarray:
-    """For each set the smallest number of a set that it is joined with over pairs of Jaccard similarity 0.8 or more; no pair is left out.
-
-    Two such sets share one of the rarest fifth of their shingles (prefix filter), and each pair that does is counted out, unless
-    it is joined already.
-    """
-    up = [*range(len(sets))]
-
-    def root(k):
-        while up[k] != k:
-            up[k] = up[up[k]]
-            k = up[k]
-        return k
-
-    _, token, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    parts = np.split(token, np.cumsum([len(x) for x in sets])[:-1])
-    index: dict[int, list[int]] = {}
-    for i in sorted(range(len(sets)), key=lambda k: len(sets[k])):
-        n, mine = len(sets[i]), parts[i]
-        prefix = mine[np.lexsort((mine, often[mine]))][: n - (4 * n + 4) // 5 + 1]
-        prefix = prefix[often[prefix] > 1].tolist()
-        for j in {j for t in prefix for j in index.get(t, ())}:
-            m = len(sets[j])
-            if 5 * m >= 4 * n and (a := root(i)) != (b := root(j)):
-                both = len(np.intersect1d(mine, parts[j], assume_unique=True))
-                if 9 * both >= 4 * (n + m):  # both / (n + m - both) >= 4 / 5
-                    up[max(a, b)] = min(a, b)
-        for t in prefix:
-            index.setdefault(t, []).append(i)
-    return np.array([root(k) for k in range(len(sets))])
-
-
-def _bucket_stars(dealt: DataFrame) -> DataFrame:
-    """a, b: the smallest node of each bucket (column at) and each other one."""
-
-    def run(batches):
-        at = hub = None
-        for b in batches:
-            keys, nodes = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            if not len(keys):
-                continue
-            new = np.r_[at is None or keys[0] != at, keys[1:] != keys[:-1]]
-            hubs = np.where(new, nodes, 0)
-            if not new[0]:
-                hubs[0] = hub
-            hubs = hubs[np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))]
-            at, hub = keys[-1], hubs[-1]
-            m = hubs != nodes
-            yield pa.RecordBatch.from_arrays([pa.array(hubs[m]), pa.array(nodes[m])], names=["a", "b"])
-
-    return dealt.repartition("at").sortWithinPartitions("at", "node").mapInArrow(run, "a long, b long").distinct()
-
-
-def _copies(members: DataFrame) -> DataFrame:
-    """node: those of members (label, node, first, text; all of one label in one task) that are joined with one of a smaller first."""
-
-    def judged(rows):
-        sets = [shingle_set(t) for _, _, t in rows]
-        rows = sorted({n: (f, n, s) for (n, f, _), s in zip(rows, sets) if _identity(s) == n}.values(), key=lambda r: r[:2])
-        return [r[1] for k, r in zip(similar_sets([r[2] for r in rows]), rows) if rows[k][1] != r[1]] if len(rows) > 1 else []
-
-    def run(batches):
-        label, rows = None, []
-        for b in batches:
-            out = []
-            for at, *row in zip(*(c.to_pylist() for c in b.columns)):
-                if at != label:
-                    out += judged(rows)
-                    label, rows = at, []
-                rows.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["node"])
-        yield pa.RecordBatch.from_arrays([pa.array(judged(rows), pa.int64())], names=["node"])
-
-    return members.repartition("label").sortWithinPartitions("label").mapInArrow(run, "node long")
-
-
-def keep_first(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs, one for each group of near copies: that with the smallest id.
-
-    Near copies: a Jaccard similarity of 0.8 or more between the sets of 5-word shingles, and what such pairs join. Of rows that
-    repeat an id, one stays; rows without an id all stay and join nothing.
+    Null texts are empty; documents without words have fingerprint zero and are linked like any other. Every row gives a row: rows
+    that repeat an id or a text fall where their texts do. Null doc_ids are kept and never smallest; extra columns, whatever
+    their names, are not read; a text of any length is one fingerprint; an empty table gives none.
     """
-
-    def sketch(ids, values):
-        sets = [shingle_set(t) for t in values]
-        return ids, [_identity(s) for s in sets], [band_keys(s) if len(s) else [] for s in sets]
-
-    own = docs.where(F.col(id_col).isNotNull())
-    plain = texts(own, id_col)
-    sketches = materialize(map_batches(plain, sketch, "doc_id long, node long, bands array<long>"))
-    classes = materialize(sketches.groupBy("node").agg(F.min("doc_id").alias("first")))
-    # Equal sets have equal bands: those of one row that carries the smallest id stand for all.
-    dealt = sketches.join(classes, (sketches.node == classes.node) & (sketches.doc_id == classes["first"]), "left_semi").select(F.explode("bands").alias("at"), "node")
-    edges = materialize(_bucket_stars(dealt))
-    labels = components(edges)
-    members = labels.join(classes, "node").select("label", "node", "first")
-    members = members.join(plain, members["first"] == plain.doc_id).select("label", "node", "first", "text")
-    copies = materialize(_copies(members))
-    first = classes.join(copies, "node", "left_anti").select(F.col("first").alias("_kept")).distinct()
-    kept = own.join(first, own[id_col] == first["_kept"], "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    with scratch(docs.sparkSession) as keep:
+        fps = materialize(fingerprints(docs))
+        classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+        edges = materialize(_links(classes.select("fp"), hot))
+        labels = components(edges)
+        linked = classes.join(labels, classes.fp == labels.node, "left").select("fp", "first", "n", F.coalesce("label", "fp").alias("label"))
+        low = linked.groupBy("label").agg(F.min("first").alias("component_id"))
+        # Only linked classes need another's smallest doc_id; their labels are salted, as one may hold very many classes.
+        multi = low.join(labels.select("label").distinct(), "label")
+        salted = multi.select("label", "component_id", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
+        of = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(16)).cast("int")).join(salted, ["label", "salt"], "left")
+        of = materialize(of.select("fp", "n", F.coalesce("component_id", "first").alias("component_id")))
+        # Fingerprints of over a 500th of all rows, fewer than 500, are dealt out to many tasks.
+        often = F.broadcast(of.where(F.col("n") > fps.count() // 500).select("fp", F.lit(True).alias("often")))
+        salt = F.when(F.col("often"), F.pmod(F.xxhash64("doc_id"), F.lit(64))).otherwise(0).cast("int")
+        left = fps.join(often, "fp", "left").select("doc_id", "fp", salt.alias("salt"))
+        right = of.join(often, "fp", "left").select("fp", "component_id", F.explode(F.when(F.col("often"), F.sequence(F.lit(0), F.lit(63))).otherwise(F.array(F.lit(0)))).alias("salt"))
+        return keep(materialize(left.join(right, ["fp", "salt"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")))
