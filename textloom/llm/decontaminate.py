@@ -3,10 +3,17 @@
 Texts and items are lower-cased and their white space collapsed. An item of m characters within k = m * ERRORS edits of a
 region shares at least m - q + 1 - k q of its q-grams with it, on diagonals no further than k apart. So shared q-grams are
 counted in overlapping diagonal bands of width 2k, bands meeting the bound are kept, and each is verified by a banded
-alignment of the whole item. Items shorter than q are matched exactly. Null and empty texts and items match nothing.
+alignment of the whole item. q is 12, and 8 for items of fewer than 24 characters, where 12 would leave no bound; items shorter
+than that are matched exactly. An item's q-grams that repeat within it are not counted where the bound stays positive without
+them; items that repeat too much for that are aligned wherever enough of a stretch's q-grams are theirs, and give the first
+such place. So repetitive items and texts cost no products.
+
+Null and empty texts and items match nothing. Rows with equal ids or texts are judged one by one, equal rows of the benchmark
+count once, of an item's equally good places the first stays, an empty table of either kind gives no rows, and other columns,
+whatever their names, are not read. A text of any length is read whole.
 
 The item index goes to the executors: a benchmark is small, and MAX_ITEM_CHARS bounds what one index holds; a larger one is
-split into several indexes, each of which goes over the documents, so that no item is dropped.
+split into several indexes, so that no item is dropped.
 """
 
 from __future__ import annotations
@@ -16,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, texts
+from .common import calls, map_batches, texts
 
-Q = 12
+Q, SHORT_Q, SHORT = 12, 8, 24
 ERRORS = 0.05
 MAX_ITEM_CHARS = 4_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -33,9 +40,9 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
-def _grams(codes: np.ndarray) -> np.ndarray:
-    """Hashes of all Q-grams, built from those of 4 and 8."""
-    if len(codes) < Q:
+def _grams(codes: np.ndarray, q: int) -> np.ndarray:
+    """Hashes of all q-grams (8 or 12), built from those of 4."""
+    if len(codes) < q:
         return np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
         h2 = codes[:-1] * _BASE + codes[1:]
@@ -43,7 +50,7 @@ def _grams(codes: np.ndarray) -> np.ndarray:
         h4 = h2[:-2] * b2 + h2[2:]
         b4 = b2 * b2
         h8 = h4[:-4] * b4 + h4[4:]
-        h = h8[:-4] * b4 + h4[8:]
+        h = h8[:-4] * b4 + h4[8:] if q == Q else h8
         h ^= h >> np.uint64(29)
         return h * np.uint64(0xBF58476D1CE4E5B9)
 
@@ -51,27 +58,40 @@ def _grams(codes: np.ndarray) -> np.ndarray:
 class Index:
     """Q-grams of items: sorted hashes with their postings, and a bitmap before them."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], q: int = Q):
+        self.q = q
         self.items = [(i, normal(t)) for i, t in items]
-        hashes = [_grams(_codes(t)) for _, t in self.items]
-        all_h = np.concatenate([*hashes, np.empty(0, np.uint64)])
-        item = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
-        place = np.concatenate([*(np.arange(len(h)) for h in hashes), np.empty(0, np.int64)])
+        hashes = [_grams(_codes(t), q) for _, t in self.items]
+        self.length = np.array([len(t) for _, t in self.items], np.int64)
+        self.budget = (self.length * ERRORS).astype(np.int64)
+        self.need = np.maximum(1, self.length - q + 1 - self.budget * q)
+        places: list[np.ndarray] = []
+        self.loops: list[tuple[int, np.ndarray]] = []
+        for k, h in enumerate(hashes):
+            _, first, count = np.unique(h, return_index=True, return_counts=True)
+            once = np.sort(first[count == 1])
+            spare = self.need[k] - (len(h) - len(once))
+            if spare < 1 < count.max(initial=0):
+                self.loops.append((k, np.unique(h)))
+                once = once[:0]
+            else:
+                self.need[k] = spare
+            places.append(once)
+        all_h = np.concatenate([*(h[p] for h, p in zip(hashes, places)), np.empty(0, np.uint64)])
+        item = np.repeat(np.arange(len(hashes)), [len(p) for p in places])
+        place = np.concatenate([*places, np.empty(0, np.int64)])
         order = np.argsort(all_h, kind="stable")
         self.item, self.place = item[order], place[order].astype(np.int64)
         self.keys, self.first, self.count = np.unique(all_h[order], return_index=True, return_counts=True)
         self.bits = np.zeros(1 << _SPAN, bool)
         self.bits[(self.keys >> np.uint64(64 - _SPAN)).astype(np.int64)] = True
-        self.length = np.array([len(t) for _, t in self.items], np.int64)
-        self.budget = (self.length * ERRORS).astype(np.int64)
-        self.need = np.maximum(1, self.length - Q + 1 - self.budget * Q)
-        self.short = [(i, t) for i, t in self.items if 0 < len(t) < Q]
+        self.short = [(i, t) for i, t in self.items if 0 < len(t) < q]
 
     def regions(self, values: list[str]):
         """(document number, item number, diagonal) of each band that meets the bound."""
         sizes = np.array([len(t) for t in values])
         joined = "\0".join(values)
-        h = _grams(_codes(joined))
+        h = _grams(_codes(joined), self.q)
         if not len(h) or not len(self.keys):
             return
         at = np.flatnonzero(self.bits[(h >> np.uint64(64 - _SPAN)).astype(np.int64)])
@@ -90,14 +110,33 @@ class Index:
         diag = at - starts[doc] - self.place[post]
         width = 2 * self.budget[item] + 1
         base = diag + self.length[item]  # not negative
+        _, inv = np.unique(doc * len(self.items) + item, return_inverse=True)
+        most = int((base // (2 * width)).max()) + 2
         for shift in (0, 1):  # bands of twice the width, each overlapping half of the next
             band = (base + shift * width) // (2 * width)
-            keys = np.stack([doc, item, band], 1)
-            uniq, inv, cnt = np.unique(keys, axis=0, return_inverse=True, return_counts=True)
-            inv = inv.reshape(-1)
-            middle = diag[np.lexsort((diag, inv))[np.cumsum(cnt) - cnt + cnt // 2]]
-            for u in np.flatnonzero(cnt >= self.need[uniq[:, 1]]):
-                yield int(uniq[u, 0]), int(uniq[u, 1]), int(middle[u])
+            order = np.lexsort((diag, key := inv.reshape(-1) * most + band))
+            edge = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
+            cnt = np.diff(np.r_[edge, len(order)])
+            for u in np.flatnonzero(cnt >= self.need[item[order[edge]]]):
+                at = order[edge[u]]
+                yield int(doc[at]), int(item[at]), int(diag[order[edge[u] + cnt[u] // 2]])
+
+    def _loop(self, text: str, own: np.ndarray, i: int, grams: np.ndarray) -> tuple[int, int, int] | None:
+        """The first region of a repetitive item: as it stands, else from where enough of a stretch's q-grams are its own."""
+        item, k = self.items[i][1], int(self.budget[i])
+        if (pos := text.find(item)) >= 0:
+            return 0, pos, pos + len(item)
+        among = np.r_[0, np.cumsum(np.isin(own, grams))]
+        reach = min(len(item) + k - self.q + 1, len(own))
+        step = max(1, 2 * k)
+        starts = np.flatnonzero(among[reach:] - among[: len(among) - reach] >= max(1, len(item) - self.q + 1 - k * self.q)) if len(own) else ()
+        at = -step
+        for p in starts:
+            if p - at >= step:
+                at = int(p)
+                if got := align(item, text, at, k):
+                    return got
+        return None
 
     def matches(self, values: list[str]):
         """{(document number, item number): (edits, start, end)} of the best verified region; offsets of the normalised text."""
@@ -112,6 +151,11 @@ class Index:
             got = (0, pos, pos + len(item)) if pos >= 0 else align(item, text, diag, k)
             if got and got < best.get((d, i), (len(item), 0, 0)):
                 best[d, i] = got
+        for d, text in enumerate(values if self.loops else ()):
+            own = _grams(_codes(text), self.q)
+            for i, grams in self.loops:
+                if got := self._loop(text, own, i, grams):
+                    best[d, i] = got
         number = {i: n for n, (i, _) in enumerate(self.items)}
         for i, t in self.short:
             for d, text in enumerate(values):
@@ -152,40 +196,44 @@ def align(item: str, text: str, diag: int, k: int) -> tuple[int, int, int] | Non
     return (int(row[c]), int(origin[c]), int(low + c + m)) if row[c] <= k else None
 
 
-def _split(items: list[tuple[int, str]]) -> list[list[tuple[int, str]]]:
-    out, size = [[]], 0
-    for i, t in items:
-        if size and size + len(t) > MAX_ITEM_CHARS:
-            out.append([])
-            size = 0
-        out[-1].append((i, t))
-        size += len(t)
+def _split(items: list[tuple[int, str]]) -> list[Index]:
+    """Items by the q that they take, in parts of MAX_ITEM_CHARS."""
+    out = []
+    for q in (Q, SHORT_Q):
+        part, size = [], 0
+        for i, t in items:
+            if (len(normal(t)) < SHORT) != (q == SHORT_Q):
+                continue
+            if size and size + len(t) > MAX_ITEM_CHARS:
+                out.append(Index(part, q))
+                part, size = [], 0
+            part.append((i, t))
+            size += len(t)
+        if part:
+            out.append(Index(part, q))
     return out
 
 
 def indexes(benchmark: DataFrame) -> list[Index]:
     """Repeated rows of the benchmark count once."""
     rows = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct().orderBy("item_id", "text").toLocalIterator()
-    return [Index(part) for part in _split([(r[0], r[1]) for r in rows if r[1].strip()])]
+    return _split([(r[0], r[1]) for r in rows if r[1].strip()])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, edits, start, end: documents that hold a benchmark item, one row for each such pair of rows; offsets of the normalised text."""
     schema = "doc_id long, item_id long, edits long, start long, end long"
-    out = None
-    for index in indexes(benchmark):
+    parts = indexes(benchmark)
 
-        def run(ids, values, index=index):
-            got = [(ids[d], index.items[i][0], *x) for (d, i), x in sorted(index.matches(values).items())]
-            return [*zip(*got)] or [[]] * 5
+    def run(ids, values):
+        got = [(ids[d], index.items[i][0], *x) for index in parts for (d, i), x in sorted(index.matches(values).items())]
+        return [*zip(*got)] or [[]] * 5
 
-        part = map_batches(texts(docs), run, schema)
-        out = part if out is None else out.union(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], T._parse_datatype_string(schema))
+    return map_batches(texts(docs), run, schema) if parts else docs.sparkSession.createDataFrame([], T._parse_datatype_string(schema))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose text holds no benchmark item: a narrow filter, no shuffle."""
+    """The rows of docs, all columns whatever their names, whose text holds no benchmark item: a narrow filter, no shuffle."""
     parts = indexes(benchmark)
     if not parts:
         return docs
@@ -196,10 +244,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Data
 
         rows = [t or "" for t in values]
         hit = np.zeros(len(rows), bool)
-        for at in range(0, len(rows), 1024):
+        for a, b in calls([*map(len, rows)]):
             for index in parts:
-                for d, _ in index.matches(rows[at : at + 1024]):
-                    hit[at + d] = True
+                for d, _ in index.matches(rows[a:b]):
+                    hit[a + d] = True
         return pd.Series(hit)
 
     return docs.where(~holds(F.col(text_col)))
