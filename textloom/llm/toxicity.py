@@ -1,10 +1,15 @@
 """Toxicity: a lexicon learned from labels, met by a Levenshtein automaton intersected with its trie.
 
-Whole terms and word stems whose presence marks the label significantly (Bonferroni over all features seen) make the lexicon.
+Whole terms and word stems whose presence marks the label significantly (Bonferroni over the features that could pass, after Tarone) make the lexicon.
 Terms of FUZZY_FROM letters or more also match at edit distance 1: the product of trie and automaton is determinised lazily, and
-most words leave it after two or three letters. A window around each hit separates quotation from abuse. A ridge logistic
+most words leave it after two or three letters. Quotation marks, however far, and words of speech in a window before each hit
+separate quotation and report from abuse; a hit whose window addresses someone counts in full. A ridge logistic
 regression over the hits gives the score. Labels are learned from about `bound` labelled rows; every text is scored whole.
-Empty and null texts have no hits; without usable labels the score is the base rate, or 0 without any label.
+Misspelled stems, terms shorter than FUZZY_FROM and terms of a strength under 0.9 are not sought.
+
+Empty and null texts have no hits; without usable labels the score is the base rate, or 0 without any label. Every row is scored
+by itself, equal texts alike; where labels repeat an id, 1 wins; words of equal evidence go by length, then letters; an empty
+table gives no rows; other columns, whatever their names, are not read; texts of any length are scored whole.
 """
 
 from __future__ import annotations
@@ -28,7 +33,12 @@ LEAST = 0.4
 #: What share of the documents with a stem may show the same letter after it.
 BRANCH = 0.7
 WORD = re.compile(r"[^\W\d_]+")
-QUOTED, WINDOW = 0.25, 5
+#: Weight of a quoted or reported hit; words on each side that are looked at, in its own sentence and within REACH characters.
+QUOTED, WINDOW, REACH = 0.25, 5, 200
+_STOP = re.compile(r"[.!?\n]")
+_MARK = re.compile("[\"“”«»„‘’'\n]")
+_OPENS = frozenset("\"“«„‘'")
+_CLOSES = {'"': '"', "”": "“„", "“": "„", "»": "«", "’": "‘", "'": "'"}
 SPEECH = frozenset("said says wrote writes called calling quote quoted quoting word term insult dit écrit mot sagte schrieb wort dijo escribió palabra".split())
 ADDRESS = frozenset("you your youre du dein deine sie ihr tu toi vous ton ta eres tú usted".split())
 
@@ -124,18 +134,47 @@ class Lexicon:
         bad = {w: k for w in set(words) if (k := self.look_up(w))[0]}
         found = []
         if bad:
+            inside, k = quotations(low), 0
             for m in WORD.finditer(low):
-                if k := bad.get(m[0]):
-                    found.append((m.start(), m.end(), m[0], k[0], k[1] * self._weight(low, m.start(), m.end())))
+                if hit := bad.get(m[0]):
+                    while k < len(inside) and inside[k][1] <= m.start():
+                        k += 1
+                    quoted = k < len(inside) and inside[k][0] < m.start()
+                    found.append((m.start(), m.end(), m[0], hit[0], hit[1] * self._weight(low, m.start(), m.end(), quoted)))
         return len(words), found
 
     @staticmethod
-    def _weight(low: str, a: int, b: int) -> float:
-        left, right = low[max(0, a - 80) : a], low[b : b + 80]
-        left = re.split(r"[.!?\n]", left)[-1]
-        inside = left.count('"') % 2 == 1 and '"' in right or left.rfind("“") > left.rfind("”") or left.rfind("«") > left.rfind("»") or left.rfind("„") > left.rfind("“")
-        near = WORD.findall(left)[-WINDOW:] + WORD.findall(right)[:WINDOW]
-        return QUOTED if (inside or any(w in SPEECH for w in near[: 2 * WINDOW]) and inside) and not any(w in ADDRESS for w in near) else 1.0
+    def _weight(low: str, a: int, b: int, quoted: bool) -> float:
+        left, right = _STOP.split(low[max(0, a - REACH) : a])[-1], _STOP.split(low[b : b + REACH])[0]
+        near = WORD.findall(left)[-WINDOW:]
+        reported = quoted or any(w in SPEECH for w in near)
+        return QUOTED if reported and not any(w in ADDRESS for w in near + WORD.findall(right)[:WINDOW]) else 1.0
+
+
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Spans in quotation marks that open and close in one line, in order and merged where they overlap; of any length."""
+    opened: dict[str, int] = {}
+    spans = []
+    for m in _MARK.finditer(text):
+        c, at = m[0], m.start()
+        if c == "\n":
+            opened.clear()
+            continue
+        before, after = text[at - 1 : at].isalnum(), text[at + 1 : at + 2].isalnum()
+        if c in "'’" and (before and after or c == "'" and not before and not after and "'" not in opened):
+            continue  # an apostrophe
+        pair = next((x for x in _CLOSES.get(c, ()) if x in opened), None)
+        if pair and not (c == "'" and after):
+            spans.append((opened.pop(pair), at))
+        elif c in _OPENS and (c != "'" or after):
+            opened.setdefault(c, at)
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
 
 
 def features(lexicon: Lexicon, text: str) -> list[float]:
@@ -175,6 +214,16 @@ def _counts(sample: DataFrame) -> DataFrame:
     return parts.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
 
 
+def testable(sizes: dict[int, int], rate: float, level: float = 0.01) -> int:
+    """How many features count in the Bonferroni correction (Tarone): those that could pass it if all their documents had the label. sizes: features by the number of their documents."""
+    total = sum(sizes.values())
+    for n in sorted(sizes):
+        if rate**n * max(1, total) < level:
+            return max(1, total)
+        total -= sizes[n]
+    return max(1, total)
+
+
 def _choose(rows, n_docs: int, n_pos: int, n_features: int) -> tuple[dict[str, float], dict[str, float]]:
     """Terms and stems with their strength: how far the label's rate where they stand exceeds its rate at large, 0 to 1."""
     rate = max(n_pos, 1) / max(n_docs, 1)
@@ -209,7 +258,8 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, b
     n_docs, n_pos = single.agg(F.count("*"), F.sum("label")).first()
     counts = materialize(_counts(single))
     rows = counts.where(F.col("pos") >= F.greatest(F.lit(3), LEAST * F.col("n"))).collect()  # of a sample of bounded size
-    terms, stems = _choose(rows, n_docs, n_pos, counts.count())
+    sizes = {r.n: r["count"] for r in counts.groupBy(F.least("n", F.lit(60)).alias("n")).count().collect()}
+    terms, stems = _choose(rows, n_docs, n_pos, testable(sizes, n_pos / n_docs))
     first = Lexicon(terms, stems)
 
     def near(words, ns, poss):
