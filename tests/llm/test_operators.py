@@ -43,7 +43,7 @@ def _files():
     bmp = b"BM" + struct.pack("<IHHI", 58, 0, 0, 54) + struct.pack("<I", 40) + bytes(40)
     jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x02\x01\x02\xff\x00\x03\xff\xd9"
     ogg = b"OggS\x00\x06" + bytes(20) + b"\x01\x03abc"
-    return {"image/png": png, "application/zip": z.getvalue(), "image/gif": gif, "image/bmp": bmp, "image/jpeg": jpeg, "audio/ogg": ogg, "audio/wav": media.to_wav(bytes(10)), "application/gzip": gzip.compress(b"x" * 1000), "application/pdf": b"%PDF-1.4\nstartxref\n0\n%%EOF"}
+    return {"image/png": png, "application/zip": z.getvalue(), "image/gif": gif, "image/bmp": bmp, "image/jpeg": jpeg, "audio/ogg": ogg, "audio/wav": media.to_wav(bytes(10)), "application/gzip": gzip.compress(b"x" * 1000), "application/pdf": b"%PDF-1.4\n1 0 obj\n<<>>\nendobj\nxref\n0 1\ntrailer<<>>\nstartxref\n29\n%%EOF"}
 
 
 def test_sniff_carves_and_corrects(spark):
