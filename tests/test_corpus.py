@@ -62,6 +62,94 @@ def tree(tmp_path):
     return src
 
 
+FILE_CHECKS = ["documents_missing", "front_matter", "documents_unknown", "index_lines", "chunk_in_body"]
+
+
+def files_checked(spark, out):
+    from textloom.operators.validate import validate_files
+    from textloom.sources.corpus import read
+
+    return {r.check: r.violations for r in validate_files(spark, str(out), read(spark, str(out), "manifest"), read(spark, str(out), "chunks")).collect()}
+
+
+def test_file_checks_find_their_faults(spark, tmp_path):
+    src, out = tmp_path / "s", tmp_path / "o"
+    (src / "sp ace").mkdir(parents=True)
+    for k in range(6):
+        (src / f"sp ace/f+{k}%.txt").write_text(f"text number {k}\n\nwith two parts")
+    corpus.run(spark, str(src), str(out))
+    assert files_checked(spark, out) == dict.fromkeys(FILE_CHECKS, 0)
+    folder = out / "documents/sp ace"
+    (folder / "f+0%.txt.md").unlink()
+    (folder / "stray.md").write_text("x")
+    p = folder / "f+1%.txt.md"
+    p.write_text(p.read_text().replace('parser: "text"', 'parser: "code"'))
+    p = folder / "f+2%.txt.md"
+    p.write_text(p.read_text().replace("with two parts", "with other parts"))
+    index = (out / "INDEX.md").read_text().splitlines()
+    (out / "INDEX.md").write_text("\n".join(index[:-1]) + "\n")
+    assert files_checked(spark, out) == {"documents_missing": 1, "front_matter": 1, "documents_unknown": 1, "index_lines": 1, "chunk_in_body": 1}
+
+
+def test_tampered_unreadable_and_changing_files(spark, tmp_path, monkeypatch):
+    src, out = tmp_path / "s", tmp_path / "o"
+    (src / "in").mkdir(parents=True)
+    for n in ("a", "b", "c"):
+        (src / f"in/{n}.txt").write_text(f"text {n}")
+    assert corpus.run(spark, str(src), str(out))["converted"] == 3
+    p = out / "documents/in/a.txt.md"
+    good = p.read_text()
+    p.write_text(good + "tampered")
+    (out / "documents/in/b.txt.md").unlink()
+    again = corpus.run(spark, str(src), str(out))
+    assert (again["converted"], again["skipped"]) == (2, 1) and p.read_text() == good and (out / "documents/in/b.txt.md").exists()
+
+    # a file that goes and one that grows between listing and reading
+    from textloom.sources import walk
+
+    files = spark.createDataFrame(walk.listing(spark, src).collect(), walk.FILES)
+    (src / "in/a.txt").unlink()
+    (src / "in/b.txt").write_text("text b and more")
+    got = {r.source_path: r.error_type for r in walk.read(files).collect()}
+    assert got == {"in/a.txt": "FileNotFoundError", "in/b.txt": "SourceChangedDuringRead", "in/c.txt": None}
+    monkeypatch.setattr(walk, "listing", lambda *_: files)
+    stats = corpus.run(spark, str(src), str(out))
+    assert stats["failed"] == 2 and {(r["source_path"], r["stage"]) for r in rows(out, "errors")} == {("in/a.txt", "read"), ("in/b.txt", "read")}
+
+
+def test_a_dead_publication_is_undone(spark, tmp_path):
+    src, out = tmp_path / "s", tmp_path / "o"
+    src.mkdir()
+    (src / "a.txt").write_text("one")
+    corpus.run(spark, str(src), str(out))
+    before = (out / "manifest.jsonl").read_bytes()
+    old = out / "_state/previous"
+    old.mkdir()
+    for name in ("documents", "manifest.jsonl"):  # as a killed run leaves them
+        os.replace(out / name, old / name)
+    (out / "documents").mkdir()
+    corpus.recover(out)
+    assert (out / "manifest.jsonl").read_bytes() == before and (out / "documents/a.txt.md").exists() and not old.exists()
+    assert corpus.run(spark, str(src), str(out))["skipped"] == 1
+
+
+def test_an_output_that_cannot_be_written_is_an_error_row(spark, tmp_path):
+    src, out = tmp_path / "s", tmp_path / "o"
+    src.mkdir()
+    (src / ("n" * 253)).write_text("the name grows too long with .md")
+    (src / "a.txt").write_text("fine")
+    stats = corpus.run(spark, str(src), str(out))
+    assert (stats["converted"], stats["failed"]) == (1, 1) and [r["stage"] for r in rows(out, "errors")] == ["write"] and len(rows(out, "manifest")) == 1
+
+
+def test_links_decode_what_they_can(spark):
+    from pyspark.sql import functions as F
+    from textloom.functions.columns import unquote
+
+    links = ["a%20b", "%zz%20a", "a+b%", "%C3%A9%", "plain"]
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in links], "u string").select(unquote(F.col("u"))).collect()] == ["a b", "%zz a", "a+b%", "é%", "plain"]
+
+
 def test_run_twice_changes_nothing_and_validates(spark, tree, tmp_path):
     out = tmp_path / "out"
     stats = corpus.run(spark, str(tree), str(out))
@@ -83,7 +171,8 @@ def test_run_twice_changes_nothing_and_validates(spark, tree, tmp_path):
     from textloom.sources.corpus import read
 
     checks = validate(*(read(spark, str(out), n) for n in ("manifest", "chunks", "nodes", "edges"))).collect()
-    assert len(checks) == 17 and all(r.violations == 0 for r in checks), checks
+    assert len(checks) == 18 and all(r.violations == 0 for r in checks), checks
+    assert files_checked(spark, out) == dict.fromkeys(FILE_CHECKS, 0)
     (tree / "plain.txt").write_text("changed")
     (tree / "code.py").unlink()
     third = corpus.run(spark, str(tree), str(out))
@@ -149,13 +238,19 @@ def test_cli(spark, tree, tmp_path, capsys):
 def test_stream(spark, tmp_path):
     from textloom.streaming.ingest import ingest
 
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in/a.txt").write_text("one")
-    for n in (1, 2):
-        q = ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"))
-        q.awaitTermination(60)
-        assert spark.read.parquet(str(tmp_path / "out/chunks")).count() == n
+    (tmp_path / "in/a b").mkdir(parents=True)
+    (tmp_path / "in/c").mkdir()
+    (tmp_path / "in/a b/x.txt").write_text("one")
+    (tmp_path / "in/c/x.txt").write_text("one")
+    (tmp_path / "in/bad.bin").write_bytes(b"\0\1")
+    (tmp_path / "in/big.txt").write_bytes(b"x" * (2 << 20))
+    for n in (2, 3):
+        ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), Settings(max_file_mb=1)).awaitTermination(60)
+        got = spark.read.parquet(str(tmp_path / "out/chunks")).collect()
+        assert len({r.chunk_id for r in got}) == len({r.source_id for r in got}) == n
         (tmp_path / "in/b.txt").write_text("two")
+    assert {r.source_path for r in got} == {"a b/x.txt", "c/x.txt", "b.txt"}
+    assert {(r.source_path, r.stage, r.error_type) for r in spark.read.parquet(str(tmp_path / "out/errors")).collect()} == {("bad.bin", "convert", "UnsupportedFormat"), ("big.txt", "limits", "FileTooLarge")}
 
 
 def test_gzip_alone_is_no_text(spark):

@@ -1,13 +1,13 @@
 """Single rules: chunks, decoding, converters, and columns against their plain twins."""
 
-import random
+import sys
+import time
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
-from textloom.functions import columns, converters, rules
-from textloom.operators import chunking
+from textloom.functions import converters, rules
+from textloom.settings import Settings
 
 
 @settings(max_examples=150, deadline=None)
@@ -41,28 +41,53 @@ def test_long_text_is_quick():
     assert len(rules.chunks("word " * 200_000, 1000, 500)) < 3000
 
 
-def test_columns_equal_rules(spark):
-    rng = random.Random(0)
-    texts = ["".join(rng.choices("ab \t\r\n\x0b\x1c  \u0085#é`", k=rng.randint(0, 40))) for _ in range(400)]
-    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", columns.clean_text("t").alias("c"), columns.fenced("t", "x").alias("f")).collect()
-    for r in rows:
-        assert (r.c, r.f) == (rules.clean(r.t), rules.fence(r.t, "x")), repr(r.t)
-    datas = [bytes(rng.choices([97, 0xC3, 0xA9, 0x81, 0x93, 0xFF, 0xFE, 0, 0xEF, 0xBB, 0xBF], k=rng.randint(0, 6))) for _ in range(300)] + [t.encode(e) for t in ("é", "中a") for e in ("utf-8", "utf-8-sig", "utf-16", "utf-32")]
-    datas = [d for d in datas if not d.startswith((b"\xff\xfe", b"\xfe\xff")) or len(d) % 2 == 0 and d[2:4] not in (b"\0\0",)]
-    text, name = columns.decode_text("d")
-    for r in spark.createDataFrame([(bytearray(d),) for d in datas], "d binary").select("d", text.alias("t"), name.alias("n")).collect():
-        want = rules.decode(bytes(r.d))
-        assert (r.t, r.n) == want or r.n == "utf-16", bytes(r.d)
-
-
-def test_relational_sections_equal_rules(spark):
-    rng = random.Random(1)
-    docs = [("d%d" % k, "\n".join(rng.choice(["# A", "## B", "### C", "###### F", "text", "", "## B "]) for _ in range(rng.randint(1, 25)))) for k in range(60)]
-    got = chunking.sections(spark.createDataFrame(docs, "source_id string, markdown string")).orderBy("source_id", "section").groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("section", "section_path"))).alias("s")).collect()
-    by = {r.source_id: [tuple(x.section_path) for x in r.s] for r in got}
-    for i, md in docs:
-        if md.strip():
-            assert by[i] == [p for p, _ in rules.sections(md)], md
+@pytest.mark.parametrize(("data", "want"), [(b"a\xc3\xa9", "utf-8"), (b"a\xe9", "cp1252"), (b"\x81\x80", "latin-1"), (b"\xef\xbb\xbfx", "utf-8-sig"), ("é".encode("utf-16"), "utf-16"), ("é".encode("utf-32"), "utf-32"), (b"\xff\xfea", "cp1252")])
+def test_decode(data, want):
+    assert rules.decode(data)[1] == want
+
+
+def test_clean_and_fence():
+    assert rules.clean("\na \t\r\nb\x00\x85c\u2028d\r") == "a\nb\nc\nd\n" and rules.fence("x ``` y\n", "z") == "````z\nx ``` y\n````\n"
+
+
+def test_safe_members():
+    assert [rules.safe_member(x) for x in ("ok/a", "./a//b", "..x/y", "d/a:b", "../x", "a/../x", "/x", "C:\\x", "..\\x", "a:b/c", "", "./")] == ["ok/a", "a/b", "..x/y", "d/a:b", *[None] * 8]
+
+
+def test_walker_on_odd_markup():
+    read = lambda t: converters.html_markdown(t, "d")
+    assert read("<table><tr><td>A</td><td>B</td></tr></table>") == ("d", "A | B\n") and read("<h2>x <b>y</b></h2><p>t<script>no") == ("d", "## x y\nt\n")
+    assert read("<a class=x href='u'>l <i>m</i></a> tail<br>n") == ("d", "[l m](u) tail\nn\n") and read("<head><title>T &amp; u</title><meta></head>b") == ("T & u", "b\n")
+    assert read("<h1>open <p>text") == ("d", "open text\n") and read("a < b") == ("d", "a < b\n") and read("") == ("d", "\n")
+    for part in ("<head>", "<title>", "<!--", "<", "<script>", "<a href='x'>", "<h1>"):
+        t = time.time()
+        read(part * 100_000)
+        assert time.time() - t < 5, part
+
+
+def test_optional_libraries(tmp_path, monkeypatch):
+    """With a library of that name, the converter reads; without, it says so."""
+    (tmp_path / "docling").mkdir()
+    (tmp_path / "docling/__init__.py").write_text("")
+    (tmp_path / "docling/document_converter.py").write_text("class DocumentConverter:\n    def convert(self, f):\n        data = open(f, 'rb').read()\n        class R:\n            class document:\n                export_to_markdown = staticmethod(lambda: 'seen ' + data.decode())\n        return R\n")
+    (tmp_path / "markitdown.py").write_text("class MarkItDown:\n    def convert(self, f):\n        class R:\n            text_content, title = 'epub text', 'Book'\n        return R\n")
+    (tmp_path / "extract_msg.py").write_text("import contextlib\n@contextlib.contextmanager\ndef openMsg(f):\n    class A:\n        longFilename, shortFilename = 'a.doc', None\n    class M:\n        subject, sender, to, cc, date, body, attachments = 'Sub', 'a@b', 'c@d', None, None, 'text', [A]\n    yield M\n")
+    by = {c.name: c for c in converters.REGISTRY}
+    assert not by["docling"].available()
+    with pytest.raises(RuntimeError, match="docling is not installed.*markitdown is not installed"):
+        converters.convert(b"%PDF", "a.pdf")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    for name in ("docling", "docling.document_converter", "markitdown", "extract_msg"):  # forgotten again after the test
+        monkeypatch.setitem(sys.modules, name, None)
+        del sys.modules[name]
+    assert by["docling"].available() and by["markitdown"].available() and by["outlook-msg"].available()
+    got = [converters.convert(b"%PDF", "a.pdf"), converters.convert(b"x", "m.msg"), by["markitdown"].run(b"x", converters.PurePosixPath("b.epub"))]
+    assert [(r.parser, r.title) for r in got] == [("docling", "a"), ("outlook-msg", "Sub"), ("markitdown", "Book")]
+    assert got[0].markdown == "seen %PDF\n" and "**From:** a@b" in got[1].markdown and "- `a.doc`" in got[1].markdown and got[2].markdown == "epub text\n"
+
+
+def test_settings_digest():
+    assert len({Settings().digest(), Settings(chunk_chars=600).digest(), Settings(strict=True).digest()}) == 3 and Settings().digest() == Settings().digest()
 
 
 @pytest.mark.parametrize(("name", "data", "has"), [

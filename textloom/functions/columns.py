@@ -6,10 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SEP = "\x1f"
-#: White space as str.strip sees it.
-WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
-
-
 def _c(x) -> Column:
     return x if isinstance(x, Column) else F.col(x)
 
@@ -19,41 +15,10 @@ def stable_id(prefix: str, *parts) -> Column:
     return F.concat(F.lit(prefix + "_"), F.substring(F.sha2(F.concat_ws(SEP, *(p.cast("string") for p in map(_c, parts))), 256), 1, 24))
 
 
-def strip(text) -> Column:
-    return F.btrim(_c(text), F.lit(WHITE))
-
-
-def clean_text(text) -> Column:
-    """LF line ends, no control characters, no trailing blanks, one final LF."""
-    t = F.regexp_replace(_c(text), "\r\n?", "\n")
-    t = F.regexp_replace(t, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
-    t = F.regexp_replace(t, r"[\u0085\u2028\u2029]", "\n")
-    t = F.regexp_replace(t, r"[\t \xa0\u1680\u2000-\u200a\u202f\u205f\u3000]++(?=\n)", "")
-    return F.concat(strip(t), F.lit("\n"))
-
-
 def approx_tokens(text) -> Column:
     return F.greatest(F.lit(1), F.floor((F.length(_c(text)) + 3) / 4)).cast("long")
 
 
-def fenced(text, language: str = "") -> Column:
-    """A code block whose fence is longer than any run of backticks inside."""
-    runs = F.transform(F.regexp_extract_all(_c(text), F.lit("(`+)"), F.lit(1)), F.length)
-    fence = F.repeat(F.lit("`"), F.greatest(F.lit(3), F.coalesce(F.array_max(runs), F.lit(0)) + 1))
-    return F.concat(fence, F.lit(language + "\n"), F.rtrim(_c(text), F.lit(WHITE)), F.lit("\n"), fence, F.lit("\n"))
-
-
-def table_row(*cells) -> Column:
-    return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
-
-
-def cell(value, limit: int = 500, cut_first: bool = True) -> Column:
-    """A table cell: null is NULL, line ends are blanks, pipes are escaped; cut before (or after) the escaping."""
-    t = F.regexp_replace(_c(value).cast("string"), "[\r\n]", " ")
-    escape = lambda x: F.replace(x, F.lit("|"), F.lit("\\|"))
-    return F.coalesce(escape(F.substring(t, 1, limit)) if cut_first else F.substring(escape(t), 1, limit), F.lit("NULL"))
-
-
 def base_name(path) -> Column:
     return F.substring_index(_c(path), "/", -1)
 
@@ -67,11 +32,6 @@ def extension(path) -> Column:
     return F.lower(F.regexp_extract(base_name(path), r"^.*[^.].*?(\.[^.]+)$|^$", 1))
 
 
-def stem(path) -> Column:
-    name = base_name(path)
-    return F.when(F.length(extension(path)) > 0, F.left(name, F.length(name) - F.length(extension(path)))).otherwise(name)
-
-
 def output_name(path, marker: bool = False) -> Column:
     """Markdown files keep their name, others get .md; marker adds eight digits of the path's digest."""
     name = base_name(path)
@@ -89,14 +49,10 @@ def output_path(path, marker: bool = False) -> Column:
     return F.concat(F.lit("documents/"), F.when(up != "", F.concat(up, F.lit("/"))).otherwise(""), output_name(logical, marker))
 
 
-def plain_key(path) -> Column:
-    """Equal for paths that one portable file system can't tell apart, for ASCII; rules.portable_key also folds other letters."""
-    return F.regexp_replace(F.lower(F.replace(_c(path), F.lit("\\"), F.lit("/"))), r"[ .]+(?=/|$)", "")
-
-
 def unquote(url) -> Column:
-    """Percent-decoding that keeps + and leaves text with broken escapes as it is."""
-    return F.coalesce(F.try_url_decode(F.replace(_c(url), F.lit("+"), F.lit("%2B"))), _c(url))
+    """Percent-decoding that keeps + and broken escapes and decodes all others."""
+    whole = F.regexp_replace(F.replace(_c(url), F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(whole), _c(url))
 
 
 def index_line(source_path, output, parser, n) -> Column:
@@ -107,9 +63,9 @@ def index_line(source_path, output, parser, n) -> Column:
     return F.concat(F.lit("- ["), label, F.lit("]("), target, F.lit(") — `"), _c(parser), F.lit("` — "), _c(n).cast("string"), F.lit(" chunks"))
 
 
-def sorted_json(**fields) -> Column:
-    """Compact JSON with sorted keys; nulls are written."""
-    return F.to_json(F.struct(*(_c(v).alias(k) for k, v in sorted(fields.items()))), {"ignoreNullFields": "false"})
+def sorted_json(nulls: bool = True, /, **fields) -> Column:
+    """Compact JSON with sorted keys; nulls are written or left out."""
+    return F.to_json(F.struct(*(_c(v).alias(k) for k, v in sorted(fields.items()))), {"ignoreNullFields": str(not nulls).lower()})
 
 
 def front_matter(fields: list[tuple[str, Column, bool]]) -> Column:
@@ -125,22 +81,3 @@ def front_matter(fields: list[tuple[str, Column, bool]]) -> Column:
 
     lines = [F.concat(F.lit(f"{name}: "), said(value, is_text)) for name, value, is_text in fields]
     return F.concat_ws("\n", F.lit("---"), *lines, F.lit("---\n\n"))
-
-
-def decode_text(data) -> tuple[Column, Column]:
-    """(text, encoding) of bytes: byte order marks, then UTF-8, cp1252, Latin-1."""
-    b = _c(data)
-    hexed = F.hex(F.substring(b, 1, 4))
-    low = "".join(map(chr, range(0x80, 0xA0)))
-    to = "".join(bytes([k]).decode("cp1252", "ignore") or chr(k) for k in range(0x80, 0xA0))
-    latin = F.decode(b, "ISO-8859-1")
-    legacy = F.when(latin.rlike("[\x81\x8d\x8f\x90\x9d]"), F.lit("latin-1")).otherwise("cp1252")
-    name = (
-        F.when(hexed.isin("FFFE0000", "0000FEFF"), "utf-32").when(hexed.startswith("EFBBBF") & F.is_valid_utf8(b.cast("string")), "utf-8-sig")
-        .when(hexed.startswith("FFFE") | hexed.startswith("FEFF"), "utf-16").when(F.is_valid_utf8(b.cast("string")), "utf-8").otherwise(legacy)
-    )
-    text = (
-        F.when(name == "utf-32", F.decode(b, "UTF-32")).when(name == "utf-8-sig", F.decode(F.substring(b, 4, 1 << 30), "UTF-8")).when(name == "utf-16", F.decode(b, "UTF-16"))
-        .when(name == "utf-8", b.cast("string")).when(name == "cp1252", F.translate(latin, low, to)).otherwise(latin)
-    )
-    return text, name

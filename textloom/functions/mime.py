@@ -1,5 +1,12 @@
 """Media types and languages by file extension, pinned so that results don't depend on the host."""
 
+from __future__ import annotations
+
+import mimetypes
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 _BY_TYPE = {
     "text/plain": "log txt ini cfg conf properties env editorconfig gitignore gitattributes npmrc dockerignore", "text/markdown": "md markdown", "text/asciidoc": "adoc asciidoc", "text/x-rst": "rst",
     "text/html": "html htm", "application/xhtml+xml": "xhtml", "application/xml": "xml xsd", "image/svg+xml": "svg", "text/csv": "csv", "text/tab-separated-values": "tsv",
@@ -34,8 +41,11 @@ ARCHIVES = (".tar.gz", ".tar.bz2", ".tar.xz", ".tgz", ".tar", ".zip")
 BINARY = RICH | frozenset(f".{e}" for e in "db sqlite sqlite3 pq parquet gz bz2 xz tgz tar zip".split())
 
 
-def guess(name: str) -> str:
-    import mimetypes
-    from pathlib import PurePosixPath
+#: Extensions beyond the pinned ones, from the library's own table, which no file of the host changes.
+OTHERS = {k: v for k, v in mimetypes.MimeTypes(filenames=()).types_map[True].items() if k not in MIME}
+
 
-    return MIME.get(PurePosixPath(name).suffix.lower()) or mimetypes.guess_type(name)[0] or UNKNOWN
+def mime_type(extension: Column) -> Column:
+    """The media type of an extension in lower case, with its dot."""
+    kinds = F.create_map(*(F.lit(x) for kv in {**OTHERS, **MIME}.items() for x in kv))
+    return F.coalesce(F.try_element_at(kinds, extension), F.lit(UNKNOWN))

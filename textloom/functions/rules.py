@@ -38,6 +38,34 @@ def portable_key(path: str) -> str:
     return "/".join(unicodedata.normalize("NFC", p).casefold().rstrip(" .") for p in path.replace("\\", "/").split("/"))
 
 
+#: Folders that a tree walk leaves out.
+IGNORED = frozenset(".git .hg .svn .venv venv node_modules __pycache__ dist build target .tox .nox .mypy_cache .pytest_cache .ruff_cache .idea .vscode".split())
+
+
+def enters(folder: str, include_hidden: bool = False) -> bool:
+    return folder not in IGNORED and (include_hidden or not folder.startswith("."))
+
+
+def discovered(path: str, include_hidden: bool = False) -> bool:
+    """Whether a walk finds the file of this relative path: under no ignored folder, and hidden in no part."""
+    *folders, name = path.split("/")
+    return all(enters(f, include_hidden) for f in folders) and (include_hidden or not name.startswith("."))
+
+
+def safe_member(name: str) -> str | None:
+    """An archive member's path in plain form; None unless relative, without .. parts and without a drive or scheme in the first."""
+    name = name.replace("\\", "/")
+    parts = name.split("/")
+    if not name or name.startswith("/") or ".." in parts or ":" in parts[0]:
+        return None
+    return "/".join(p for p in parts if p not in ("", ".")) or None
+
+
+def order_key(path: str) -> str:
+    """Sorts paths as a portable file system would list them, then by their exact form."""
+    return "\0".join((portable_key(path), unicodedata.normalize("NFC", path), path))
+
+
 def sections(markdown: str) -> list[tuple[tuple[str, ...], str]]:
     """(heading path, text) of each part that a heading opens; its line stays in the text. Headings in code count too."""
     levels: dict[int, str] = {}

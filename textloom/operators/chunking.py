@@ -39,25 +39,12 @@ def chunk_table(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     )
 
 
-def sections(docs: DataFrame) -> DataFrame:
-    """Relational twin of the section split: (source_id, section, level, section_path) of each non-blank section.
-
-    Heading rows alone pass through the window: their texts stay behind.
-    """
-    from pyspark.sql import Window
-
-    lines = docs.select("source_id", F.posexplode(F.split("markdown", "\n")).alias("pos", "line"))
-    m = r"^(#{1,6})\s+(\S.*?)\s*$"
-    rows = lines.select("source_id", "pos", F.length(F.regexp_extract("line", m, 1)).alias("level"), F.regexp_extract("line", m, 2).alias("title"), (F.trim("line") != "").alias("filled"))
-    w = Window.partitionBy("source_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("section", F.sum((F.col("level") > 0).cast("long")).over(w))
-    heads = rows.groupBy("source_id", "section").agg(F.max("filled").alias("filled"), F.max_by("level", "level").alias("level"), F.max_by("title", "level").alias("title"))
-    s = Window.partitionBy("source_id").orderBy("section").rowsBetween(Window.unboundedPreceding, 0)
-    for k in range(1, 7):  # the last heading of level k, and its place
-        heads = heads.withColumn(f"l{k}", F.max(F.when(F.col("level") == k, F.struct("section", "title"))).over(s))
-    parts, above = [], F.lit(-1).cast("long")
-    for k in range(1, 7):
-        at = F.col(f"l{k}.section")
-        parts.append(F.when(at > above, F.col(f"l{k}.title")))
-        above = F.greatest(above, F.coalesce(at, F.lit(-1)))
-    return heads.where("filled").select("source_id", "section", F.col("level").cast("long").alias("level"), F.array_compact(F.array(*parts)).alias("section_path"))
+def section_table(docs: DataFrame) -> DataFrame:
+    """source_id, section (from 0), section_path, text: the sections that split() cuts into windows."""
+
+    def run(batches):
+        for batch in batches:
+            out = [(i, k, [*path], text) for i, md in zip(*(c.to_pylist() for c in batch.columns)) for k, (path, text) in enumerate(rules.sections(md or ""))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.list_(pa.string()), pa.string()))], names=["source_id", "section", "section_path", "text"])
+
+    return docs.select("source_id", "markdown").mapInArrow(run, "source_id string, section long, section_path array<string>, text string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from pathlib import PurePosixPath
 
 import pyarrow as pa
@@ -15,9 +16,10 @@ from ..functions import converters
 OUT = "source_path string, status string, markdown string, parser string, title string, extraction string, error_type string, message string"
 
 
-def convert(files: DataFrame, registry=None) -> DataFrame:
-    """OUT for each row of files (source_path, content). status: converted, unsupported or failed. registry: Converters that take part."""
-    schema = T._parse_datatype_string(OUT)
+def convert(files: DataFrame, registry=None, keep: Sequence[str] = ()) -> DataFrame:
+    """OUT for each row of files (source_path, content), beside its columns `keep`. status: converted, unsupported or failed. registry: Converters that take part."""
+    carried = [f for f in files.schema if f.name in keep]
+    schema = T.StructType([*carried, *T._parse_datatype_string(OUT)])
     arrow = to_arrow_schema(schema)
 
     def one(path: str, data: bytes):
@@ -31,14 +33,26 @@ def convert(files: DataFrame, registry=None) -> DataFrame:
             return path, "failed", None, None, None, None, type(e).__name__, str(e)
 
     def run(batches):
+        rows, held = [], 0
+
+        def made():
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=f.type) for k, f in enumerate(arrow)], schema=arrow)
+
         for batch in batches:
             for at in range(batch.num_rows):  # a file at a time: the largest file bounds memory
-                path, data = (c.slice(at, 1).to_pylist()[0] for c in batch.columns)
-                yield pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip(one(path, data), arrow)], schema=arrow)
+                *own, path, data = (c.slice(at, 1).to_pylist()[0] for c in batch.columns)
+                rows.append((*own, *one(path, data)))
+                held += len(rows[-1][len(own) + 2] or "")
+                if len(rows) >= 256 or held > 4 << 20:
+                    yield made()
+                    rows, held = [], 0
+        if rows:
+            yield made()
 
-    return files.select("source_path", "content").mapInArrow(run, schema)
+    return files.select(*(f.name for f in carried), "source_path", "content").mapInArrow(run, schema)
 
 
 def capabilities(spark: SparkSession, registry=None) -> DataFrame:
-    rows = [(c.name, ",".join(sorted(c.extensions)), c.available()) for c in registry or converters.REGISTRY]
-    return spark.createDataFrame(rows, "name string, extensions string, available boolean")
+    """name, extensions, needs (an optional library), available."""
+    rows = [(c.name, ",".join(sorted(c.extensions)), c.needs, c.available()) for c in registry or converters.REGISTRY]
+    return spark.createDataFrame(rows, "name string, extensions string, needs string, available boolean")

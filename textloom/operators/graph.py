@@ -33,13 +33,19 @@ def edge(source, target, kind: str) -> list[Column]:
     return [stable_id("edge", source, target, F.lit(kind)).alias("id"), source.alias("source"), target.alias("target"), F.lit(kind).alias("type")]
 
 
+def chunk_edges(chunks: DataFrame) -> DataFrame:
+    """contains and next edges, from one pass over the chunks."""
+    rows = chunks.select("source_id", "chunk_id", F.lead("chunk_id").over(Window.partitionBy("source_id").orderBy("ordinal")).alias("then"))
+    both = F.array(F.struct(*edge(F.col("source_id"), F.col("chunk_id"), "contains")), F.when(F.col("then").isNotNull(), F.struct(*edge(F.col("chunk_id"), F.col("then"), "next"))))
+    return rows.select(F.explode(F.array_compact(both)).alias("e")).select("e.*")
+
+
 def contains(chunks: DataFrame) -> DataFrame:
-    return chunks.select(*edge(F.col("source_id"), F.col("chunk_id"), "contains"))
+    return chunk_edges(chunks).where("type = 'contains'")
 
 
 def following(chunks: DataFrame) -> DataFrame:
-    w = Window.partitionBy("source_id").orderBy("ordinal")
-    return chunks.select("chunk_id", F.lead("chunk_id").over(w).alias("then")).where("then is not null").select(*edge(F.col("chunk_id"), F.col("then"), "next"))
+    return chunk_edges(chunks).where("type = 'next'")
 
 
 def references(docs: DataFrame) -> DataFrame:
@@ -63,7 +69,7 @@ def local_links(docs: DataFrame) -> DataFrame:
 
 
 def edges(docs: DataFrame, chunks: DataFrame) -> DataFrame:
-    return contains(chunks).unionByName(following(chunks)).unionByName(references(docs)).unionByName(local_links(docs))
+    return chunk_edges(chunks).unionByName(references(docs)).unionByName(local_links(docs))
 
 
 def document_nodes(docs: DataFrame) -> DataFrame:

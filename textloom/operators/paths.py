@@ -1,4 +1,4 @@
-"""Paths: discovery filters, member safety, collisions, claims on output names, archive budgets."""
+"""Paths: discovery filters, member safety, claims on output names, archive budgets."""
 
 from __future__ import annotations
 
@@ -9,8 +9,6 @@ from pyspark.sql import types as T
 from ..functions import rules
 from ..functions.columns import output_path
 
-IGNORED = frozenset(".git .hg .svn .venv venv node_modules __pycache__ dist build target .tox .nox .mypy_cache .pytest_cache .ruff_cache .idea .vscode".split())
-
 
 @F.pandas_udf(T.StringType())
 def portable_key(paths):
@@ -18,22 +16,13 @@ def portable_key(paths):
 
 
 def discovered(path: Column, include_hidden: bool = False) -> Column:
-    """Not under an ignored folder, and no hidden part."""
-    parts = F.split(path, "/")
-    ok = ~F.exists(F.slice(parts, 1, F.size(parts) - 1), lambda p: p.isin(*sorted(IGNORED)))
-    return ok if include_hidden else ok & ~F.exists(parts, lambda p: p.startswith("."))
+    """The walk's own rule, for paths from elsewhere."""
+    return F.pandas_udf(lambda paths: paths.map(lambda p: rules.discovered(p, include_hidden)), "boolean")(path)
 
 
 def safe_member(name: Column) -> Column:
-    """Relative, without .. parts and without a drive or scheme in the first part."""
-    n = F.replace(name, F.lit("\\"), F.lit("/"))
-    return ~n.startswith("/") & ~F.exists(F.split(n, "/"), lambda p: p == "..") & ~F.split(n, "/")[0].contains(":") & (n != "")
-
-
-def collisions(members: DataFrame, key: Column | None = None) -> DataFrame:
-    """archive, n: archives in which two members share a portable key."""
-    k = portable_key(F.col("member")) if key is None else key
-    return members.select("archive", k.alias("k")).groupBy("archive", "k").count().where("count > 1").groupBy("archive").agg(F.sum("count").alias("n"))
+    """The plain form of an archive member's path, or null: the archive readers' own rule."""
+    return F.pandas_udf(lambda names: names.map(rules.safe_member), "string")(name)
 
 
 def claims(sources: DataFrame, key=portable_key) -> DataFrame:
@@ -49,7 +38,11 @@ def claims(sources: DataFrame, key=portable_key) -> DataFrame:
 
 
 def over_budget(members: DataFrame, max_files: int, max_bytes: int) -> DataFrame:
-    """archive, over: whether an archive holds a member beyond the run's budget. Running totals need one order: only (archive, place, totals) rows meet."""
+    """archive, over: whether an archive holds a member beyond the run's budget.
+
+    Running totals need one order: only (archive, place, totals) rows meet in one task, and of those only as many as the budget
+    allows files can be within it.
+    """
     each = members.groupBy("archive", "place").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
     w = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     return each.select("archive", ((F.sum("files").over(w) > max_files) | (F.sum("bytes").over(w) > max_bytes)).alias("over"))

@@ -5,15 +5,17 @@ Driver rows become documents at the path source/lang/doc_N.txt, pages at pages/N
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions import converters, mime
+from ..functions import converters, mime, rules
 from ..operators import chunking, convert, graph, incremental, paths, validate
 from ..settings import Settings
 from ..sources import archives
+from . import corpus
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -43,15 +45,25 @@ def sid(prefix: str, *parts: str) -> str:
 
 BLANK = "' ' || chr(9) || chr(10)"
 CLEAN = rf"trim(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '[ \t]+\n', chr(10), 'g'), {BLANK}) || chr(10)"
-DOCS = f"""docs as (select doc_id, source_path, {sid('src', 'source_path')} as source_id, {sid('ver', 'source_path', 'sha256(text)')} as source_version_id, sha256(text) as sha256,
+#: Text that links to the next document of the same folder, to an own heading's page from the top, to a web page and to nothing.
+LINKS = "coalesce(text, '') || chr(10) || chr(10) || 'See [next](doc_' || (doc_id + 1) || '.txt#top) and [again](../../' || source || '/' || lang || '/./doc_' || (doc_id + 3) || '.txt?x=1), [none](gone.md), [away](mailto:a@b) and https://example.org/p' || doc_id % 50 || ' or [page](http://example.org/q' || doc_id % 7 || ').'"
+
+
+def _docs_sql(text: str = "coalesce(text, '')") -> str:
+    return f"""docs as (select doc_id, source_path, folder, {sid('src', 'source_path')} as source_id, {sid('ver', 'source_path', 'sha256(text)')} as source_version_id, sha256(text) as sha256,
   strlen(text) as size_bytes, {CLEAN} as markdown, 'doc_' || doc_id as title, 'text' as parser
-  from (select doc_id, source || '/' || lang || '/doc_' || doc_id || '.txt' as source_path, coalesce(text, '') as text from documents))"""
+  from (select doc_id, source || '/' || lang as folder, source || '/' || lang || '/doc_' || doc_id || '.txt' as source_path, {text} as text from documents))"""
+
+
+DOCS, LINKED = _docs_sql(), _docs_sql(LINKS)
 
 
-def docs(spark, sf) -> DataFrame:
-    rows = read(spark, sf, "documents").select("doc_id", F.concat("source", F.lit("/"), "lang", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("source_path"), F.coalesce("text", F.lit("")).alias("text"))
-    digest = F.sha2("text", 256)
-    return rows.select("doc_id", "source_path", C.stable_id("src", "source_path").alias("source_id"), C.stable_id("ver", "source_path", digest).alias("source_version_id"), digest.alias("sha256"), F.octet_length("text").cast("long").alias("size_bytes"), C.clean_text("text").alias("markdown"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("title"), F.lit("text").alias("parser"))
+def docs(spark, sf, text: str = "coalesce(text, '')") -> DataFrame:
+    """The documents as the engine describes and converts them."""
+    path = F.concat("source", F.lit("/"), "lang", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    content = F.expr(text.replace("chr(10)", "char(10)")).cast("binary")
+    files = corpus.described(read(spark, sf, "documents").select("doc_id", path.alias("source_path"), content.alias("content")).withColumn("size_bytes", F.octet_length("content").cast("long")))
+    return convert.convert(files, keep=("doc_id", "source_id", "source_version_id", "sha256", "size_bytes", "mime_type")).drop("status", "error_type", "message", "extraction")
 
 
 CONV = f"""conv as (select 'conv/' || conv_id || '.md' as source_path, {sid('src', "'conv/' || conv_id || '.md'")} as source_id,
@@ -94,7 +106,9 @@ SHOWN = ["chunk_id", "source_id", "source_path", "ordinal", "char_count", "appro
 
 @query(f"with {DOCS} select source_path, source_id, source_version_id, sha256, size_bytes from docs")
 def source_identity(spark, sf):
-    return docs(spark, sf).select("source_path", "source_id", "source_version_id", "sha256", "size_bytes")
+    path = F.concat("source", F.lit("/"), "lang", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    files = read(spark, sf, "documents").select(path.alias("source_path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    return corpus.described(files.withColumn("size_bytes", F.octet_length("content").cast("long"))).select("source_path", "source_id", "source_version_id", "sha256", "size_bytes")
 
 
 @query(f"with {DOCS} select source_path, length(markdown) as n, sha256(markdown) as digest from docs")
@@ -107,22 +121,29 @@ def approx_tokens(spark, sf):
     return read(spark, sf, "documents").select("doc_id", C.approx_tokens("text").alias("tokens"))
 
 
-NAMES = ["a.txt", "x/b.MD", "c.markdown", "README", "x/.env", "d.tar.gz", "q.PY", "bundle.zip!/in/n.txt", "weird!name.md", "data.unknownext", "x y/(1)#2&[3].txt"]
-_NAMES = "(values " + ", ".join(f"('{n}')" for n in NAMES) + ") v(p)"
+def pick(options: list[str], by: str) -> tuple[Callable[[], Column], str]:
+    """One of the options by a whole number, in both languages."""
+    said = ", ".join("'" + x.replace("'", "''") + "'" for x in options)
+    return lambda: F.element_at(F.array(*map(F.lit, options)), (F.expr(by) + 1).cast("int")), f"([{said}])[({by}) + 1]"
 
 
-def names(spark):
-    return spark.createDataFrame([(n,) for n in NAMES], "p string")
+_TAIL, _TAIL_SQL = pick([".txt", ".MD", ".markdown", "", ".tar.gz", ".PY", ".zip!/in/n.txt", "!name.md", ".unknownext", " (1)#2&[3].txt", "/.env", "."], "doc_id % 12")
+_NAMED = f"(select doc_id, source || '/' || lang || doc_id || {_TAIL_SQL} as p from documents)"
+
+
+def named(spark, sf) -> DataFrame:
+    return read(spark, sf, "documents").select("doc_id", F.concat("source", F.lit("/"), "lang", F.col("doc_id").cast("string"), _TAIL()).alias("p"))
 
 
 _NAME = "split_part(p, '/', -1)"
 _EXT = rf"lower(regexp_extract({_NAME}, '^.*[^.].*?(\.[^.]+)$', 1))"
+_X, _X_SQL = pick(sorted({**mime.OTHERS, **mime.MIME}) + [".nosuch"], f"doc_id % {len({**mime.OTHERS, **mime.MIME}) + 1}")
 
 
-@query("with t(x, m) as (values " + ", ".join(f"('{k}', '{v}')" for k, v in mime.MIME.items()) + f") select p, {_EXT} as ext, coalesce(m, 'application/octet-stream') as mime from {_NAMES} left join t on t.x = {_EXT}")
+@query("with t(x, m) as (values " + ", ".join(f"('{k}', '{v}')" for k, v in {**mime.OTHERS, **mime.MIME}.items()) + f"), d as (select doc_id, 'f' || doc_id || upper({_X_SQL}) as p from documents) select doc_id, {_EXT} as ext, coalesce(m, 'application/octet-stream') as mime from d left join t on t.x = {_EXT}")
 def mime_lookup(spark, sf):
-    kinds = F.create_map(*(F.lit(x) for kv in mime.MIME.items() for x in kv))
-    return names(spark).select("p", C.extension("p").alias("ext")).select("p", "ext", F.coalesce(F.try_element_at(kinds, F.col("ext")), F.lit(mime.UNKNOWN)).alias("mime"))
+    rows = read(spark, sf, "documents").select("doc_id", F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.upper(_X())).alias("source_path"), F.lit(b"").alias("content"))
+    return corpus.described(rows).select("doc_id", F.col("source_extension").alias("ext"), F.col("mime_type").alias("mime"))
 
 
 def _out(p: str, mark: bool) -> str:
@@ -133,25 +154,28 @@ def _out(p: str, mark: bool) -> str:
     return f"'documents/' || regexp_extract({p}, '^(.*/)?', 0) || {named}"
 
 
-@query(f"select p, {_out('q', False)} as plain, {_out('q', True)} as marked from (select p, replace(p, '!', '__archive__') as q from {_NAMES})")
+@query(f"select doc_id, {_out('q', False)} as plain, {_out('q', True)} as marked from (select doc_id, replace(p, '!', '__archive__') as q from {_NAMED})")
 def output_filename(spark, sf):
-    return names(spark).select("p", C.output_path("p").alias("plain"), C.output_path("p", True).alias("marked"))
+    return named(spark, sf).select("doc_id", C.output_path("p").alias("plain"), C.output_path("p", True).alias("marked"))
 
 
-@query("select doc_id, '```' || chr(10) || rtrim(text, ' ' || chr(10)) || chr(10) || '```' || chr(10) as block from documents")
-def code_fence(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", C.fenced("text").alias("block"))
+_TICKED = "(select doc_id, repeat('`', (doc_id % 7)::int) || ' ' || coalesce(text, '') as x from documents)"
 
 
-@query("select x, f || chr(10) || x || chr(10) || f || chr(10) as block from (select x, repeat('`', greatest(3, 1 + coalesce(list_max(list_transform(regexp_extract_all(x, '`+'), lambda y: length(y))), 0))::int) as f from (values ('a'), ('`b`'), ('````c````'), ('``` d')) v(x))")
-def code_fence_growth(spark, sf):
-    return spark.createDataFrame([("a",), ("`b`",), ("````c````",), ("``` d",)], "x string").select("x", C.fenced("x").alias("block"))
+@query(f"select doc_id, f || 'text' || chr(10) || rtrim(x, ' ' || chr(10) || chr(9)) || chr(10) || f || chr(10) as block from (select doc_id, x, repeat('`', greatest(3, 1 + coalesce(list_max(list_transform(regexp_extract_all(x, '`+'), lambda y: length(y))), 0))::int) as f from {_TICKED})")
+def code_fence(spark, sf):
+    """Texts that begin with up to six backticks: the fence grows."""
+    fence = F.pandas_udf(lambda ts: ts.map(lambda t: rules.fence(t, "text")), "string")
+    x = F.concat(F.expr("repeat('`', cast(doc_id % 7 as int))"), F.lit(" "), F.coalesce("text", F.lit("")))
+    return read(spark, sf, "documents").select("doc_id", fence(x).alias("block"))
 
 
 @query("select k, '| ' || k || ' | ' || s || ' |' as line from (select o_orderkey as k, replace(o_orderpriority, '|', '\\|') as s, row_number() over (order by o_orderkey) as n from orders) where n <= 200")
 def markdown_table_top200(spark, sf):
-    rows = read(spark, sf, "orders").orderBy("o_orderkey").limit(200)
-    return rows.select(F.col("o_orderkey").alias("k"), C.table_row(C.cell("o_orderkey"), C.cell("o_orderpriority")).alias("line"))
+    """The first rows of a table as the SQLite reader writes them."""
+    line = F.pandas_udf(lambda a, b: a.combine(b, lambda *r: converters._row(map(converters._sql_cell, r))), "string")
+    rows = read(spark, sf, "orders").orderBy("o_orderkey").limit(converters.SQL_ROWS)
+    return rows.select(F.col("o_orderkey").alias("k"), line("o_orderkey", "o_orderpriority").alias("line"))
 
 
 @query("select 'part' as name, count(*) as n, count(*) > 200 as truncated from part union all select 'nation', count(*), count(*) > 200 from nation")
@@ -165,19 +189,26 @@ def json_sorted_compact(spark, sf):
     return read(spark, sf, "events").select("event_id", C.sorted_json(user_id="user_id", event_type="event_type", event_id="event_id").alias("j"))
 
 
-HEXES = ["", "61C3A9", "61E9", "EFBBBFC3A9", "FFFE6100", "FEFF0061", "FFFE000061000000", "8180", "93"]
+@query("""with d as (select doc_id, doc_id % 4 as k, case when doc_id % 4 = 3 then regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', 'é', 'g') else coalesce(text, '') end as t from documents)
+select doc_id, case when k = 1 then 'utf-8-sig' when k = 2 then 'utf-16' when k = 3 and contains(t, 'é') then 'cp1252' else 'utf-8' end as encoding, sha256(t) as digest from d""")
+def decode_ladder(spark, sf):
+    """Texts in four encodings, decoded as the converters do."""
+    t, k = F.coalesce("text", F.lit("")), F.col("doc_id") % 4
+    content = F.when(k == 1, F.concat(F.unhex(F.lit("EFBBBF")), t.cast("binary"))).when(k == 2, F.encode(t, "UTF-16")).when(k == 3, F.encode(F.regexp_replace(t, r"[^\x00-\x7F]", "é"), "ISO-8859-1")).otherwise(t.cast("binary"))
 
+    @F.pandas_udf("t string, encoding string")
+    def decoded(blobs):
+        import pandas as pd
 
-@query("select * from (values ('', 'utf-8', ''), ('61C3A9', 'utf-8', 'aé'), ('61E9', 'cp1252', 'aé'), ('EFBBBFC3A9', 'utf-8-sig', 'é'), ('FFFE6100', 'utf-16', 'a'), ('FEFF0061', 'utf-16', 'a'), ('FFFE000061000000', 'utf-32', 'a'), ('8180', 'latin-1', chr(129) || chr(128)), ('93', 'cp1252', '“')) v(h, encoding, t)")
-def decode_ladder(spark, sf):
-    rows = spark.createDataFrame([(h,) for h in HEXES], "h string").withColumn("b", F.unhex("h"))
-    text, name = C.decode_text("b")
-    return rows.select("h", name.alias("encoding"), text.alias("t"))
+        return pd.DataFrame([rules.decode(bytes(b)) for b in blobs], columns=["t", "encoding"])
+
+    return read(spark, sf, "documents").select("doc_id", decoded(content).alias("d")).select("doc_id", "d.encoding", F.sha2("d.t", 256).alias("digest"))
 
 
-@query("select u, url_decode(u) as d from (values ('a%20b'), ('a+b'), ('%C3%A9/x'), ('plain')) v(u)")
+@query("select doc_id, source || ' ' || lang || '/é+%zz' || doc_id || '%' as d from documents")
 def url_unquote(spark, sf):
-    return spark.createDataFrame([("a%20b",), ("a+b",), ("%C3%A9/x",), ("plain",)], "u string").select("u", C.unquote("u").alias("d"))
+    """Escapes are decoded, a plus and broken escapes stay."""
+    return read(spark, sf, "documents").select("doc_id", C.unquote(F.concat("source", F.lit("%20"), "lang", F.lit("/%C3%a9+%zz"), F.col("doc_id").cast("string"), F.lit("%"))).alias("d"))
 
 
 # ---- sections and chunks
@@ -190,9 +221,9 @@ k as (select *, max(case when level = 1 then section end) over o as s1, max(case
 j as (select k.source_id, k.section, k.level, k.filled, a.title as t1, case when k.s2 > coalesce(k.s1, -1) then b.title end as t2 from k left join h a on a.source_id = k.source_id and a.section = k.s1 left join h b on b.source_id = k.source_id and b.section = k.s2)"""
 
 
-@query(f"with {CONV}, {_SECTIONS} select source_id, section::bigint as section, level::bigint as level, concat_ws('/', t1, t2) as section_path from j where filled")
+@query(f"with {CONV}, {_SECTIONS} select source_id, row_number() over (partition by source_id order by section) - 1 as section, concat_ws('/', t1, t2) as section_path from j where filled")
 def section_paths(spark, sf):
-    return chunking.sections(conv(spark, sf)).select("source_id", "section", "level", F.array_join("section_path", "/").alias("section_path"))
+    return chunking.section_table(conv(spark, sf)).select("source_id", "section", F.array_join("section_path", "/").alias("section_path"))
 
 
 @query(f"""with {CONV}, {_SECTIONS}, b as (select source_id, section, trim(string_agg(line, chr(10) order by pos), {BLANK}) as text from s group by all)
@@ -254,8 +285,8 @@ def html_markdown(spark, sf):
 
 @query(f"select page_id, length({_STRIPPED}) as n from pages")
 def html_strip(spark, sf):
-    silent = lambda t, x: F.regexp_replace(t, rf"(?is)<{x}\b[^>]*>.*?</{x}\s*>", "")
-    return read(spark, sf, "pages").select("page_id", F.length(silent(silent(F.regexp_replace("html", "(?s)<!--.*?-->", ""), "script"), "style")).cast("long").alias("n"))
+    bare = F.pandas_udf(lambda pages: pages.map(converters.without_silent, na_action="ignore"), "string")
+    return read(spark, sf, "pages").select("page_id", F.length(bare("html")).cast("long").alias("n"))
 
 
 @query("""select conv_id, turn, '- **' || t || '** ' || x as cue from (select conv_id, turn, '00:00:' || lpad(turn::varchar, 2, '0') || ' --> 00:01:00' as t, regexp_replace(trim(text), '\\s*\\n\\s*', ' ', 'g') as x from conversations)""")
@@ -273,47 +304,80 @@ def subtitle_cues(spark, sf):
     return read(spark, sf, "conversations").select("conv_id", "turn", cue("turn", "text").alias("cue"))
 
 
-@query()
+def _values(rows: list[tuple], names: str) -> str:
+    """Rows that were checked by hand, as SQL."""
+    say = lambda v: "null" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return "select * from (values " + ", ".join("(" + ", ".join(map(say, r)) + ")" for r in rows) + f") v({names})"
+
+
+#: File, parser, title and Markdown; without a parser: status and error type.
+CONVERTED = [
+    ("w.txt", "text", "w", "two  words\n"), ("a.json", "json", "a", '# a.json\n\n```json\n{\n  "a": [\n    2000.0\n  ],\n  "b": 1.5\n}\n```\n'), ("r.jsonl", "json", "r", '# r.jsonl\n\n```json\n{\n  "i": 2\n}\n{\n  "i": 1\n}\n```\n'),
+    ("t.csv", "csv", "t", "# t.csv\n\n| n | v |\n| --- | --- |\n| two lines | \\|x |\n"), ("n.ipynb", "jupyter", "n", "# n\n\n# T\n\n## Code cell 2\n\n```python\n1+1\n```\n\n### Output\n\n```text\n2\n```\n"),
+    ("m.eml", "email-eml", "Hi", "# Hi\n\n**From:** a@example.com\n\n## Body\n\nBody\n"), ("x.xml", "xml", "x", "# x.xml\n\n```xml\n<a>1</a>\n```\n"), ("bad.xml", "generic-text", "bad.xml", '# bad.xml\n\n```text\n<!DOCTYPE a [<!ENTITY e "x">]><a>&e;</a>\n```\n'),
+    ("d.sqlite", "sqlite", "d", "# d.sqlite\n\nTables: 1\n\n## Table `facts`\n\n### Schema\n\n```sql\nCREATE TABLE facts (id integer primary key, value text)\n```\n\n| id | value |\n| --- | --- |\n| 1 | a\\|b |\n"),
+    ("q.parquet", "parquet", "q", "# q.parquet\n\n## Schema\n\n```text\nid: int64\nname: string\n```\n\n## Sample\n\n| id | name |\n| --- | --- |\n| 1 | x\\|y |\n| 2 | None |\n"),
+    ("Makefile", "code", "Makefile", "# Makefile\n\n```makefile\nall:\n\ttrue\n```\n"), ("noext", "generic-text", "noext", "# noext\n\n```text\nwords\n```\n"), ("s.vtt", "subtitles", "s", "# s\n\n## Transcript\n\n- **00:01 --> 00:02** hi there\n"), ("p.pdf", None, "failed", "RuntimeError"), ("bin.dat", None, "unsupported", "UnsupportedFormat"),
+]
+
+
+@query(_values([(f, "converted", p, t, m, None) if p else (f, t, None, None, None, m) for f, p, t, m in CONVERTED], "source_path, status, parser, title, markdown, error_type"))
 def converter_fixtures(spark, sf):
-    """A file of each kind without a SQL twin, through the registry."""
+    """A file of each kind, through the registry."""
     import io
     import sqlite3
-    import zipfile
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
 
     db = sqlite3.connect(":memory:")
     db.execute("create table facts (id integer primary key, value text)")
     db.execute("insert into facts values (1, 'a|b')")
-    z = io.BytesIO()
-    with zipfile.ZipFile(z, "w") as f:
-        f.writestr("in/n.txt", "note")
+    table = io.BytesIO()
+    pq.write_table(pa.table({"id": [1, 2], "name": ["x|y", None]}), table)
     files = {
-        "a.json": b'{"b": 1.50, "a": [2e3]}', "r.jsonl": b'{"i": 2}\n\n{"i": 1}\n', "t.csv": b'n,v\n"two\nlines",|x\n', "n.ipynb": b'{"cells": [{"cell_type": "markdown", "source": ["# T"]}, {"cell_type": "code", "source": "1+1", "outputs": [{"text": ["2"]}]}]}',
-        "m.eml": b"From: a@example.com\nSubject: Hi\nContent-Type: text/plain\n\nBody\n", "x.xml": b"<a>1</a>", "bad.xml": b'<!DOCTYPE a [<!ENTITY e "x">]><a>&e;</a>', "d.sqlite": db.serialize(), "p.pdf": b"%PDF-1.4", "Makefile": b"all:\n\ttrue\n", "noext": b"words", "bin.dat": b"\0\1\2",
+        "w.txt": b"two  words \r\n", "a.json": b'{"b": 1.50, "a": [2e3]}', "r.jsonl": b'{"i": 2}\n\n{"i": 1}\n', "t.csv": b'n,v\n"two\nlines",|x\n', "n.ipynb": b'{"cells": [{"cell_type": "markdown", "source": ["# T"]}, {"cell_type": "code", "source": "1+1", "outputs": [{"text": ["2"]}]}]}',
+        "m.eml": b"From: a@example.com\nSubject: Hi\nContent-Type: text/plain\n\nBody\n", "x.xml": b"<a>1</a>", "bad.xml": b'<!DOCTYPE a [<!ENTITY e "x">]><a>&e;</a>', "d.sqlite": db.serialize(), "q.parquet": table.getvalue(), "s.vtt": b"WEBVTT\n\n00:01 --> 00:02\nhi\nthere\n",
+        "p.pdf": b"%PDF-1.4", "Makefile": b"all:\n\ttrue\n", "noext": b"words", "bin.dat": b"\0\1\2",
     }
     rows = spark.createDataFrame([(k, bytearray(v)) for k, v in files.items()], "source_path string, content binary")
-    return convert.convert(rows)
+    return convert.convert(rows).select("source_path", "status", "parser", "title", "markdown", "error_type")
 
 
-@query()
+@query(_values([("x.zip", "B.txt", 1, 3, None), ("x.zip", "in/a.txt", 2, 4, None), ("x.zip", "a.txt", 0, 1, None), ("t.tar", "deep/n.txt", 0, 5, None), ("y.tgz", None, 0, 0, "ValueError"), ("z.zip", None, 0, 0, "BadZipFile"), ("w.zip", None, 0, 0, "ValueError")], "archive, member, member_no, size, error_type"))
 def archive_expand(spark, sf):
+    """Members in portable order; a link is none; an unsafe name, a collision and a broken file are errors."""
     import io
     import tarfile
     import zipfile
 
-    z, t = io.BytesIO(), io.BytesIO()
-    with zipfile.ZipFile(z, "w") as f:
-        f.writestr("b.txt", "b")
-        f.writestr("in/a.txt", "a")
-    with tarfile.open(fileobj=t, mode="w:gz") as f:
-        i = tarfile.TarInfo("../up.txt")
-        f.addfile(i, io.BytesIO(b""))
-    rows = spark.createDataFrame([("x.zip", 0, bytearray(z.getvalue())), ("y.tgz", 1, bytearray(t.getvalue()))], "source_path string, place long, content binary")
-    return archives.expand(rows).drop("content")
-
-
-@query()
+    def zipped(**files) -> bytearray:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for k, v in files.items():
+                z.writestr(k, v)
+        return bytearray(out.getvalue())
+
+    def tarred(mode: str, *files) -> bytearray:
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode=mode) as t:
+            for name, data in files:
+                i = tarfile.TarInfo(name)
+                if data is None:
+                    i.type, i.linkname = tarfile.SYMTYPE, "deep/n.txt"
+                else:
+                    i.size = len(data)
+                t.addfile(i, io.BytesIO(data or b""))
+        return bytearray(out.getvalue())
+
+    boxes = [("x.zip", zipped(**{"B.txt": "bbb", "in/a.txt": "aaaa", "a.txt": "a"})), ("t.tar", tarred("w", ("deep/n.txt", b"12345"), ("link", None))), ("y.tgz", tarred("w:gz", ("../up.txt", b""))), ("z.zip", bytearray(b"PK nothing")), ("w.zip", zipped(**{"a": "1", "A.": "2"}))]
+    return archives.expand(spark.createDataFrame([(n, "", b) for n, b in boxes], "source_path string, place string, content binary")).select("archive", "member", "member_no", "size", "error_type")
+
+
+@query(_values([("text", None), ("code", None), ("json", None), ("csv", None), ("xml", None), ("html", None), ("jupyter", None), ("email-eml", None), ("subtitles", None), ("sqlite", None), ("parquet", "pyarrow"), ("outlook-msg", "extract_msg"), ("docling", "docling"), ("markitdown", "markitdown"), ("generic-text", None)], "name, needs"))
 def capabilities(spark, sf):
-    return convert.capabilities(spark)
+    """The converters in their order; whether one is available is the machine's affair, what it needs is not."""
+    return convert.capabilities(spark).select("name", "needs")
 
 
 # ---- graph
@@ -360,12 +424,30 @@ def edges_next(spark, sf):
     return graph.following(chunking.chunk_table(docs(spark, sf)))
 
 
-@query(f"{CHUNKS} {_CONTAINS} union all {_NEXT}")
+_DLINKS = f"(select source_id, folder, unnest({_LINKS}) as link from docs)"
+_LINKS_TO = f"""select {sid('edge', 'l.source_id', 'd.source_id', chr(39) + 'links_to' + chr(39))} as id, l.source_id as source, d.source_id as target, 'links_to' as type
+  from (select source_id, case when starts_with(x, '../../') then replace(substr(x, 7), '/./', '/') else folder || '/' || x end as path from (select *, regexp_replace(link, '[?#].*$', '') as x from {_DLINKS}) where not regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:')) l join docs d on d.source_path = l.path"""
+_DREF = f"select {sid('edge', 's', 't', chr(39) + 'references_url' + chr(39))} as id, s as source, t as target, 'references_url' as type from (select source_id as s, {sid('url', 'u')} as t from (select source_id, unnest({_URLS}) as u from docs))"
+
+
+@query(f"with {LINKED} {_LINKS_TO}")
+def edges_links_to(spark, sf):
+    return graph.local_links(docs(spark, sf, LINKS))
+
+
+@query(f"with recursive {LINKED}, {_chunks(5000, 500, 200)} {_CONTAINS} union all {_NEXT} union all {_DREF} union all {_LINKS_TO}")
 def graph_edges_all(spark, sf):
-    d = docs(spark, sf)
+    """All four kinds, over documents that link to each other and to web pages."""
+    d = docs(spark, sf, LINKS)
     return graph.edges(d, chunking.chunk_table(d))
 
 
+@query(f"with recursive {LINKED}, {_chunks(5000, 500, 200)} select source_id as id, 'document' as type from docs union all select chunk_id, 'chunk' from chunks union all select distinct {sid('url', 'u')}, 'url' from (select unnest({_URLS}) as u from docs)")
+def graph_nodes_all(spark, sf):
+    d = docs(spark, sf, LINKS)
+    return graph.nodes(d, chunking.chunk_table(d)).select("id", "type")
+
+
 @query(f"with {DOCS} select source_id as id, 'document' as type, source_path, title, sha256 from docs")
 def nodes_document(spark, sf):
     return graph.document_nodes(docs(spark, sf))
@@ -376,16 +458,6 @@ def nodes_chunk(spark, sf):
     return graph.chunk_nodes(chunking.chunk_table(docs(spark, sf))).withColumn("section_path", F.array_join("section_path", "/"))
 
 
-LINKED = [("a/x.md", "[t](../b/y.md) [u](../b/y.md) [v](z.txt#f)"), ("b/y.md", "[w](./y.md) ![i](/a/x.md) [m](mailto:q) [h](#top)"), ("a/z.txt", "[s](../../a/x.md?q=1) [e](sp%20ace.md)"), ("a/sp ace.md", "[g](http://[nothost/p) [o](missing.md)")]
-EXPECTED = [("a/x.md", "b/y.md"), ("a/x.md", "b/y.md"), ("a/x.md", "a/z.txt"), ("b/y.md", "b/y.md"), ("a/z.txt", "a/x.md"), ("a/z.txt", "a/sp ace.md")]
-
-
-@query(f"select {sid('edge', 's', 't', chr(39) + 'links_to' + chr(39))} as id, s as source, t as target, 'links_to' as type from (select {sid('src', 'a')} as s, {sid('src', 'b')} as t from (values {', '.join(f'({chr(39)}{a}{chr(39)}, {chr(39)}{b}{chr(39)})' for a, b in EXPECTED)}) v(a, b))")
-def edges_links_to(spark, sf):
-    rows = spark.createDataFrame(LINKED, "source_path string, markdown string")
-    return graph.local_links(rows.withColumn("source_id", C.stable_id("src", "source_path")))
-
-
 # ---- manifest, reports, incremental
 
 _OUTPUT = _out("source_path", False)
@@ -445,27 +517,57 @@ def size_limit_errors(spark, sf):
 
 # ---- paths and archives
 
-TREE = ["a.txt", ".git/x", "src/.env", "node_modules/p/i.js", "dist.txt", "docs/build/o.txt", "build", "ok/deep/f.md", ".hidden"]
+_F1, _F1_SQL = pick(["a", ".git", "node_modules", "build", "src", ".cfg", "dist.d"], "doc_id % 7")
+_F2, _F2_SQL = pick(["/x", "/dist", "", "/.venv"], "doc_id % 4")
+_F3, _F3_SQL = pick(["/f.txt", "/.env", "/build"], "doc_id % 3")
+_IGNORED = ", ".join(f"'{x}'" for x in sorted(rules.IGNORED))
 
 
-@query("select p, p in ('a.txt', 'dist.txt', 'build', 'ok/deep/f.md') as kept, p not in ('.git/x', 'node_modules/p/i.js', 'docs/build/o.txt') as with_hidden from (values " + ", ".join(f"('{p}')" for p in TREE) + ") v(p)")
+@query(f"""with d as (select doc_id, {_F1_SQL} || {_F2_SQL} || {_F3_SQL} as p from documents), e as (select doc_id, string_split(p, '/') as parts from d),
+f as (select doc_id, parts, len(list_filter(parts[:-2], lambda x: list_contains([{_IGNORED}], x))) = 0 as free from e)
+select doc_id, free and len(list_filter(parts, lambda x: starts_with(x, '.'))) = 0 as kept, free as with_hidden from f""")
 def discovery_filter(spark, sf):
-    return spark.createDataFrame([(p,) for p in TREE], "p string").select("p", paths.discovered(F.col("p")).alias("kept"), paths.discovered(F.col("p"), True).alias("with_hidden"))
+    """The walk's rule on paths made of ignored, hidden and plain names."""
+    p = F.concat(_F1(), _F2(), _F3())
+    return read(spark, sf, "documents").select("doc_id", paths.discovered(p).alias("kept"), paths.discovered(p, True).alias("with_hidden"))
 
 
-MEMBERS = ["ok/a.txt", "../x", "a/../../x", "/abs", "C:\\x", "..\\x", "a:b/c", "dir/a:b", "..x/y"]
+_M1, _M1_SQL = pick(["", "../", "/", "C:\\", "a/../", "..\\", "a:b/", "./", "..x/", "a//b/./"], "doc_id % 10")
 
 
-@query("select p, p in ('ok/a.txt', 'dir/a:b', '..x/y') as safe from (values " + ", ".join(f"('{p}')" for p in MEMBERS) + ") v(p)")
+@query(f"""with d as (select doc_id, replace({_M1_SQL} || lang || '/x' || doc_id || '.txt', '\\', '/') as p from documents)
+select doc_id, case when not starts_with(p, '/') and not list_contains(string_split(p, '/'), '..') and not contains(split_part(p, '/', 1), ':') then array_to_string(list_filter(string_split(p, '/'), lambda x: x not in ('', '.')), '/') end as member from d""")
 def member_path_safety(spark, sf):
-    return spark.createDataFrame([(p,) for p in MEMBERS], "p string").select("p", paths.safe_member(F.col("p")).alias("safe"))
+    """The archive readers' rule: the plain form of a safe name, null for others."""
+    p = F.concat(_M1(), "lang", F.lit("/x"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return read(spark, sf, "documents").select("doc_id", paths.safe_member(p).alias("member"))
 
 
-@query("select source || '.zip' as archive, count(*) as n from documents group by source having count(*) > 1")
+@query("""with d as (select doc_id // 8 as archive, lower(lang) || '/x' || doc_id % 13 as k from documents), g as (select archive, k, count(*) as n from d group by all)
+select archive, case when max(n) > 1 then 'ValueError' end as error_type, case when max(n) > 1 then 0 else sum(n)::bigint end as members from g group by archive""")
 def portable_collisions(spark, sf):
-    """Members named after the language in changing case: all of a source collide."""
-    rows = read(spark, sf, "documents").select(F.concat("source", F.lit(".zip")).alias("archive"), F.when(F.col("doc_id") % 2 == 0, "A/x.TXT").otherwise("a/X.txt ").alias("member"))
-    return paths.collisions(rows)
+    """ZIP archives of eight members whose names differ in case and in trailing dots alone, or truly: the reader refuses the former."""
+    name = F.when(F.col("doc_id") % 2 == 0, F.concat(F.upper("lang"), F.lit("/x"), (F.col("doc_id") % 13).cast("string"))).otherwise(F.concat(F.lower("lang"), F.lit("/X"), (F.col("doc_id") % 13).cast("string"), F.lit(". ")))
+
+    @F.pandas_udf("binary")
+    def packed(lists):
+        import io
+        import warnings
+        import zipfile
+
+        def one(names) -> bytes:
+            out = io.BytesIO()
+            with warnings.catch_warnings(), zipfile.ZipFile(out, "w") as z:
+                warnings.simplefilter("ignore")
+                for n in names:
+                    z.writestr(n, n)
+            return out.getvalue()
+
+        return lists.map(one)
+
+    boxes = read(spark, sf, "documents").groupBy(F.floor(F.col("doc_id") / 8).cast("long").alias("archive")).agg(F.collect_list(name).alias("names")).select("archive", packed("names").alias("content"))
+    got = archives.expand(boxes.select(F.concat(F.col("archive").cast("string"), F.lit(".zip")).alias("source_path"), F.lit("").alias("place"), "content"))
+    return got.groupBy(F.regexp_extract("archive", r"^\d+", 0).cast("long").alias("archive")).agg(F.max("error_type").alias("error_type"), F.count("member").alias("members"))
 
 
 @query("""with a as (select doc_id // 100 as place, count(*) as f, sum(n_chars) as b from documents group by all)
@@ -475,26 +577,50 @@ def archive_budget(spark, sf):
     return paths.over_budget(rows.withColumn("archive", F.concat(F.col("place").cast("string"), F.lit(".zip"))), 500, 1_000_000)
 
 
-CLAIMED = ["README", "README.md", "readme.MD", "a/x.txt", "a/x.txt.md", "b!c.md"]
+_C, _C_SQL = pick(["", ".md", ".MD", "!x"], "doc_id % 4")
 
 
-@query("select s as source_path, case when m then " + _out("replace(s, '!', '__archive__')", True) + " else " + _out("replace(s, '!', '__archive__')", False) + " end as output_path, false as clash from (values ('README', false), ('README.md', true), ('readme.MD', true), ('a/x.txt', false), ('a/x.txt.md', true), ('b!c.md', false)) v(s, m)")
+@query(f"""with d as (select doc_id, source || '/n' || doc_id // 4 || {_C_SQL} as p from documents), e as (select *, replace(p, '!', '__archive__') as q from d),
+f as (select *, {_out('q', False)} as plain, {_out('q', True)} as marked from e), g as (select *, row_number() over (partition by lower(plain) order by doc_id, p) as r from f)
+select p as source_path, case when r = 1 then plain else marked end as output_path, false as clash from g""")
 def path_claims(spark, sf):
-    return paths.claims(spark.createDataFrame([(k, p) for k, p in enumerate(CLAIMED)], "place long, source_path string"))
+    """Names that want one output: the first by place gets it, the others a marker."""
+    p = F.concat("source", F.lit("/n"), F.floor(F.col("doc_id") / 4).cast("string"), _C())
+    return paths.claims(read(spark, sf, "documents").select(F.col("doc_id").alias("place"), p.alias("source_path")))
 
 
 # ---- integrity
 
 
 def _corpus(spark, sf):
-    d = docs(spark, sf)
-    chunks = chunking.chunk_table(d).persist(StorageLevel.DISK_ONLY)  # all checks read it
-    return manifest_of(d, chunks), chunks, graph.nodes(d, chunks), graph.edges(d, chunks)
+    d = docs(spark, sf, LINKS)
+    chunks = chunking.chunk_table(d)
+    return d, manifest_of(d, chunks), chunks, graph.nodes(d, chunks), graph.edges(d, chunks)
 
 
-CHECKS = ["unique_source_id", "unique_source_path", "unique_output_path", "unique_chunk_id", "unique_node_id", "orphan_chunks", "chunk_paths", "chunk_shape", "chunk_digest", "dense_ordinals", "chunk_counts", "dangling_source", "dangling_target", "edge_types", "contains_count", "document_nodes", "digest_shape"]
+CHECKS = ["unique_source_id", "unique_source_path", "unique_output_path", "unique_chunk_id", "unique_node_id", "orphan_chunks", "chunk_paths", "chunk_shape", "chunk_digest", "dense_ordinals", "chunk_counts", "dangling_source", "dangling_target", "edge_types", "contains_count", "document_nodes", "chunk_nodes", "digest_shape"]
+#: What validate_damaged breaks, by check: the number of documents (or their chunks) that it hits.
+_HIT = {
+    "orphan_chunks": "doc_id % 17 = 0", "document_nodes": "doc_id % 17 = 0", "chunk_counts": "doc_id % 11 = 0 and doc_id % 17 <> 0", "digest_shape": "doc_id % 19 = 0 and doc_id % 17 <> 0", "chunk_digest": "doc_id % 13 = 0",
+    "unique_output_path": "doc_id = -1", "edge_types": "doc_id % 23 = 0", "dangling_source": "doc_id % 29 = 0", "chunk_paths": "doc_id % 31 = 0 and doc_id % 17 <> 0",
+}
 
 
 @query("select * from (values " + ", ".join(f"('{c}', 0::bigint)" for c in CHECKS) + ") v(\"check\", violations)")
 def validate_corpus(spark, sf):
-    return validate.validate(*_corpus(spark, sf))
+    """A whole corpus has no violations; validate_damaged shows that each check finds its own."""
+    return validate.validate(*_corpus(spark, sf)[1:])
+
+
+@query(" union all ".join(f"""select '{c}' as "check", {f"(select count(*) from documents where {_HIT[c]})" if c in _HIT else "0::bigint"} as violations""" for c in CHECKS))
+def validate_damaged(spark, sf):
+    """The same corpus with faults planted by doc_id: every document of LINKS has a chunk, so each hit document shows once."""
+    d, manifest, chunks, nodes, edges = _corpus(spark, sf)
+    of = d.select("source_id", "doc_id")
+    k = F.col("doc_id")
+    manifest = manifest.join(of, "source_id").where(k % 17 != 0).withColumns({"chunk_count": F.col("chunk_count") + (k % 11 == 0).cast("int"), "sha256": F.when(k % 19 == 0, "x").otherwise(F.col("sha256"))}).drop("doc_id")
+    first = F.col("ordinal") == 0
+    chunks = chunks.join(of, "source_id").withColumns({"sha256": F.when(first & (k % 13 == 0), "x").otherwise(F.col("sha256")), "source_path": F.when(first & (k % 31 == 0), "x").otherwise(F.col("source_path"))}).drop("doc_id")
+    extra = of.where(k % 23 == 0).select(F.lit("e").alias("id"), F.col("source_id").alias("source"), F.col("source_id").alias("target"), F.lit("odd").alias("type"))
+    loose = of.where(k % 29 == 0).select(F.lit("e").alias("id"), F.concat(F.lit("gone"), k.cast("string")).alias("source"), F.col("source_id").alias("target"), F.lit("next").alias("type"))
+    return validate.validate(manifest, chunks, nodes, edges.union(extra).union(loose))

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import json
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass, fields
 
 VERSION = "0.1.0"
 #: Raised when the same settings give other output.
@@ -34,5 +33,8 @@ class Settings:
         return self
 
     def digest(self) -> str:
-        said = json.dumps(asdict(self), sort_keys=True, separators=(",", ":"))
-        return hashlib.sha256("\x1f".join((VERSION, REVISION, said)).encode()).hexdigest()
+        """Changes with every setting and with the engine's version: state under another digest is made anew."""
+        h = hashlib.blake2b(f"{VERSION}/{REVISION}".encode(), digest_size=16)
+        for f in fields(self):
+            h.update(f"\n{f.name}={getattr(self, f.name)!r}".encode())
+        return h.hexdigest()

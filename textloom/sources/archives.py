@@ -1,4 +1,4 @@
-"""Members of ZIP and TAR archives as rows. An archive that breaks a rule gives one error row and no member."""
+"""Members of ZIP and TAR archives as rows. An archive that breaks a rule gives one error row, and none of its members stay."""
 
 from __future__ import annotations
 
@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions import rules
 from ..functions.mime import ARCHIVES
-from ..functions.rules import portable_key
 from ..settings import Settings
 
-OUT = "archive string, place long, member string, member_no long, size long, content binary, error_type string, message string"
+OUT = "archive string, place string, member string, member_no long, size long, content binary, error_type string, message string"
 
 
 def is_archive(path: Column) -> Column:
@@ -26,61 +26,69 @@ def is_archive(path: Column) -> Column:
     return out
 
 
-def _safe(name: str) -> str:
-    name = name.replace("\\", "/")
-    parts = name.split("/")
-    if name.startswith("/") or ".." in parts or ":" in parts[0]:
-        raise ValueError(f"Unsafe archive path: {name}")
-    return "/".join(p for p in parts if p not in ("", "."))
-
-
 def members(name: str, data: bytes, max_files: int, max_bytes: int):
-    """(member, bytes) in portable order. Declared sizes count against the limits before anything is unpacked."""
-    got, keys, total = [], set(), 0
-
-    def claim(member: str, size: int) -> str:
-        nonlocal total
-        member = _safe(member)
-        if (k := portable_key(member)) in keys:
-            raise ValueError(f"Archive members collide: {member}")
-        keys.add(k)
-        total += size
-        if len(keys) > max_files:
-            raise ValueError(f"Archive holds more than {max_files} files")
-        if total > max_bytes:
-            raise ValueError(f"Archive expands beyond {max_bytes} bytes")
-        return member
-
+    """(member, bytes) in portable order, each read when its turn comes. Names and declared sizes are all checked before."""
     if name.lower().endswith(".zip"):
         with zipfile.ZipFile(io.BytesIO(data)) as z:
-            if len(z.infolist()) > max_files:
-                raise ValueError(f"Archive holds more than {max_files} files")
-            for i in z.infolist():
-                if not i.is_dir():
-                    got.append((claim(i.filename, i.file_size), z.read(i)))
+            found = [(i.filename, i.file_size, i) for i in z.infolist() if not i.is_dir()]
+            for member, _, i in _claimed(found, max_files, max_bytes):
+                yield member, z.read(i)
     else:
         with tarfile.open(fileobj=io.BytesIO(data), mode="r:*") as t:
+            found, total = [], 0
             for i in t:
                 if i.isfile():  # links are never made
-                    got.append((claim(i.name, i.size), t.extractfile(i).read()))
-    return sorted(got, key=lambda x: (portable_key(x[0]), x[0]))
+                    found.append((i.name, i.size, i))
+                    total += i.size
+                    if len(found) > max_files or total > max_bytes:
+                        break  # no need to unpack the rest to refuse it
+            for member, size, i in _claimed(found, max_files, max_bytes):
+                got = t.extractfile(i).read()
+                if len(got) != size:
+                    raise ValueError(f"Archive member is cut short: {member}")
+                yield member, got
+
+
+def _claimed(found: list[tuple], max_files: int, max_bytes: int) -> list[tuple]:
+    """The members under their safe names, sorted; raises where a rule is broken."""
+    if len(found) > max_files:
+        raise ValueError(f"Archive holds more than {max_files} files")
+    if sum(f[1] for f in found) > max_bytes:
+        raise ValueError(f"Archive expands beyond {max_bytes} bytes")
+    out: dict[str, tuple] = {}
+    for name, size, i in found:
+        if (member := rules.safe_member(name)) is None:
+            raise ValueError(f"Unsafe archive path: {name}")
+        if (k := rules.portable_key(member)) in out:
+            raise ValueError(f"Archive members collide: {member}")
+        out[k] = member, size, i
+    return [out[k] for k in sorted(out)]
 
 
 def expand(archives: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """OUT for archives (source_path, place, content)."""
+    """OUT for archives (source_path, place, content). A damaged member shows when its turn comes: whole() leaves such archives out."""
     schema = T._parse_datatype_string(OUT)
     arrow = to_arrow_schema(schema)
     files, size = settings.archive_max_files, settings.archive_max_expanded_mb << 20
 
+    def one(path, place, data):
+        try:
+            n = 0
+            for n, (member, got) in enumerate(members(path, data, files, size), 1):
+                yield path, place, member, n - 1, len(got), got, None, None
+        except Exception as e:  # noqa: BLE001  failures are data; expanded() drops what came before
+            yield path, place, None, 0, 0, None, type(e).__name__, str(e)
+
     def run(batches):
         for b in batches:
-            for r in b.to_pylist():
-                path, place = r["source_path"], r["place"]
-                try:
-                    out = [(path, place, m, k, len(d), d, None, None) for k, (m, d) in enumerate(members(path, r["content"] or b"", files, size))]
-                except Exception as e:  # noqa: BLE001  failures are data
-                    out = [(path, place, None, 0, 0, None, type(e).__name__, str(e))]
-                for row in out:
+            for at in range(b.num_rows):  # an archive at a time, and of it a member at a time
+                path, place, data = (c.slice(at, 1).to_pylist()[0] for c in b.columns)
+                for row in one(path, place, data or b""):
                     yield pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip(row, arrow)], schema=arrow)
 
     return archives.select("source_path", "place", "content").mapInArrow(run, schema)
+
+
+def whole(expanded: DataFrame) -> DataFrame:
+    """Members of archives that no error row belongs to."""
+    return expanded.where("error_type is null").join(expanded.where("error_type is not null").select("archive").distinct(), "archive", "left_anti")
