@@ -1,9 +1,14 @@
 """URL filters, native: a blocked Bloom filter of listed canonical URLs before an exact hash join.
 
-Canonical: host without leading www., then path without trailing slashes; no scheme, query or fragment. The filter has a fixed
-number of blocks of 512 bits (BLOCKS, 4 MB at most, whatever the list's length: a bound that lets it be broadcast); an URL sets
-eight bits of one block. URLs that pass are joined exactly, which removes false positives; a list too long for the filter makes
-it pass more rows and changes no verdict. Null URLs and those without :// have empty host and path, and are never listed.
+Canonical: host without leading www., then path without trailing slashes; no scheme, query or fragment. The filter is made of
+blocks of 512 bits, one for every 16 listed URLs up to BLOCKS of them (16 MB: the bound that lets it be broadcast; about 4 million
+URLs at full strength); an URL sets eight bits of one block. URLs that pass are joined exactly, which removes false positives; a
+longer list makes the filter pass more rows and changes no verdict. Two branches read id and URL once each: rows that the filter
+clears never meet a shuffle.
+
+Null URLs and those without :// have empty host and path, and are never listed. Every row gives a row, so equal rows and repeated
+ids give equal ones; of rules that fit equally long the one given last counts; an empty table or list is no special case; other
+columns, whatever their names, are not read; an URL of any length is judged whole.
 """
 
 from __future__ import annotations
@@ -11,9 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: (verdict, host, path), the longest that fits wins.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-BLOCKS = 1 << 16
+BLOCKS, LEAST, PER_BLOCK = 1 << 18, 1 << 6, 16
 WORDS = 8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -36,35 +43,40 @@ def _rule(host: Column, path: Column, rules) -> tuple[Column, Column]:
     return name, verdict
 
 
-def _place(canon: Column) -> tuple[Column, list[Column]]:
+def blocks_for(n: int) -> int:
+    """A power of two of blocks for a list of n URLs."""
+    return min(BLOCKS, max(LEAST, 1 << (n // PER_BLOCK).bit_length()))
+
+
+def _place(canon: Column, blocks: int) -> tuple[Column, list[Column]]:
     """Block number, and the word masks: one bit in each of the eight words of a block."""
     h = F.xxhash64(canon)
     bits = F.xxhash64(canon, F.lit("bits"))
-    return F.pmod(h, F.lit(BLOCKS)).cast("int"), [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(bits, 6 * k).bitwiseAND(F.lit(63)).cast("int")) for k in range(WORDS)]
-
-
+    return F.pmod(h, F.lit(blocks)).cast("int"), [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(bits, 6 * k).bitwiseAND(F.lit(63)).cast("int")) for k in range(WORDS)]
 
 
-def bloom(listed: DataFrame) -> DataFrame:
+def bloom(listed: DataFrame, blocks: int) -> DataFrame:
     """block, w0..w7 of the filter of column canon."""
-    block, masks = _place(F.col("canon"))
+    block, masks = _place(F.col("canon"), blocks)
     return listed.select(block.alias("block"), *(m.alias(f"w{k}") for k, m in enumerate(masks))).groupBy("block").agg(*(F.bit_or(f"w{k}").alias(f"w{k}") for k in range(WORDS)))
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict, listed for every row of pages. listed: column canon of canonical URLs to block."""
+    """page_id, host, path, rule, verdict, listed for every row of pages. listed: column canon of canonical URLs to block; it is written once, distinct, and counted."""
+    exact = materialize(listed.where("canon is not null").select("canon").distinct())
+    blocks = blocks_for(exact.count())
     host, path = parts(F.col("url"))
     rows = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
     name, said = _rule(F.col("host"), F.col("path"), rules)
     rows = rows.select("page_id", "host", "path", name.alias("rule"), said.alias("said"), canonical(F.col("host"), F.col("path")).alias("canon"))
-    block, masks = _place(F.col("canon"))
-    filt = bloom(listed.where("canon is not null"))  # BLOCKS rows at most
+    block, masks = _place(F.col("canon"), blocks)
+    filt = bloom(exact, blocks)  # BLOCKS rows at most
     tested = rows.withColumn("block", block).join(F.broadcast(filt), "block", "left")
     passes = F.lit(True)
     for k, m in enumerate(masks):
         passes = passes & (F.col(f"w{k}").bitwiseAND(m) != 0)
     tested = tested.withColumn("maybe", F.coalesce(passes, F.lit(False)) & F.col("canon").isNotNull())
-    exact = listed.where("canon is not null").select("canon").distinct().withColumn("listed", F.lit(True))
+    exact = exact.withColumn("listed", F.lit(True))
     hits = tested.where("maybe").select("page_id", "host", "path", "rule", "said", "canon").join(exact, "canon", "left").select("page_id", "host", "path", "rule", "said", F.coalesce("listed", F.lit(False)).alias("listed"))
     clear = tested.where("not maybe").select("page_id", "host", "path", "rule", "said", F.lit(False).alias("listed"))
     verdict = F.coalesce("said", F.when(F.col("listed"), "block").otherwise("allow"))
