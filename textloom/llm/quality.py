@@ -2,8 +2,11 @@
 
 A document is a bag of passages of PASSAGE words. Every passage is described by its shape and encoded by a small network; gated
 attention weights, learned from document labels alone, form the weighted passage representation that is scored. Labels are
-learned from about `bound` labelled rows; every text is scored whole. An empty or null text is a bag of one empty passage;
-without labels of both kinds the score is the base rate, or 1 without any label (nothing is rejected).
+learned from about `bound` labelled rows, of PASSAGES passages together at most; every text is scored whole.
+
+An empty or null text is a bag of one empty passage; without labels of both kinds the score is the base rate, or 1 without any
+label (nothing is rejected). Every row is scored by itself, equal texts alike; where labels repeat an id, 1 wins; an empty table
+gives no rows; other columns, whatever their names, are not read; a text of any length is as many passages as it has.
 """
 
 from __future__ import annotations
@@ -14,11 +17,14 @@ from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import drop_tables, held_out, labelled_sample, map_batches, materialize, texts
 
 BOUND = 8_000
 PASSAGE = 64
+#: Passages that are learned from at most: of the sample, the documents whose ids come first until that is reached.
+PASSAGES = 400_000
 HIDDEN, GATE, EPOCHS = 16, 8, 150
 SYMBOL = re.compile(r"[^\w\s.,;:'\"()?-]")
 TAIL = re.compile(r"[^\w\s.,;:'\"()?!-]$|!!")
@@ -115,13 +121,17 @@ def fit(bags: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, bound: int = BOUND, label: str = "quality") -> Model:
-    sample = materialize(labelled_sample(docs, labels, label, modulus, held, bound))
+    whole = sample = materialize(labelled_sample(docs, labels, label, modulus, held, bound))
+    sizes, held_sizes = sample.select("doc_id", F.greatest(F.lit(1), F.ceil(F.regexp_count("text", F.lit(r"\S+")) / PASSAGE)).alias("n")).orderBy("doc_id").collect(), 0
+    within = [r[0] for r in sizes if (held_sizes := held_sizes + r.n) <= PASSAGES]
+    if len(within) < len(sizes):
+        sample = sample.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in within], sample.select("doc_id").schema)), "doc_id")
 
     def run(ids, ys, values):
         return ids, ys, [np.array(passages(t), np.float32).tobytes() for t in values]
 
     got = map_batches(sample.select("doc_id", "label", "text"), run, "doc_id long, y int, x binary").collect()  # features of about `bound` rows
-    drop_tables(sample)
+    drop_tables(whole)
     got.sort(key=lambda r: (r[0], bytes(r[2])))
     return fit([np.frombuffer(r[2], np.float32).reshape(-1, N).astype(float) for r in got], np.array([r[1] for r in got], float))
 
@@ -141,8 +151,6 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of docs, all columns, that score `least` or more: a narrow filter, no shuffle."""
-    from pyspark.sql import functions as F
-
     model = train(docs, labels)
 
     @F.pandas_udf("double")
