@@ -184,7 +184,8 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW) ->
     for length, *run in plan:
         places.setdefault(length, []).append(run)
     table = {k: np.array(sorted(v), np.int64) for k, v in places.items()}  # bounded by the window, not by the corpus
-    ranked = rows.join(counts.select("part", "length", "before"), ["part", "length"])
+    # As many rows as tasks times lengths, which no bound holds: never broadcast, however small its compressed files look.
+    ranked = rows.join(counts.select("part", "length", "before").hint("merge"), ["part", "length"])
     ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("local") + F.col("before")).alias("rank"))
 
     def place(ids, start, length, crc, tokens, rank):
