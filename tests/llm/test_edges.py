@@ -104,3 +104,49 @@ def test_stages(stage, spark, docs, labels, benchmark, tmp_path):
             assert sorted(r.doc_id for r in got if r.doc_id is not None) == [0, 1, 2, 3, 3, 4, 6, 9, 10, 11]
         if d is docs and name == "pii":
             assert [r.text for r in got if r.doc_id == 9] == ["mail <email> or <phone>"] and len(got) == 14
+
+
+def test_pages_with_nulls_repeats_long_rows_and_clashing_names(spark):
+    long = "word, " * 200_000
+    rows = [(1, "http://a.com/x", "<p>t</p>"), (1, "http://a.com/x", "<p>t</p>"), (None, None, None), (2, "no scheme", ""), (3, "http://b.net/es/" + "p" * 1_000_000, f"<article><p>{long}</article>")]
+    names = ["host", "path", "rule", "verdict", "block", "w0", "text", "n_chars", "said", "canon", "maybe", "listed"]
+    pages = spark.createDataFrame([(*r, *["z"] * len(names)) for r in rows], "page_id long, url string, html string, " + ", ".join(f"{n} string" for n in names))
+    got = html.main_text(pages).collect()
+    assert sorted((r.page_id or 0, r.text[:9], r.n_chars) for r in got) == [(0, "", 0), (1, "t", 1), (1, "t", 1), (2, "", 0), (3, "word, wor", len(long) - 1)]
+    listed = spark.createDataFrame([("a.com/x",), ("a.com/x",), (None,)], "canon string")
+    got = urls.judge(pages, listed).collect()
+    assert sorted((r.page_id or 0, r.host, len(r.path), r.rule, r.verdict, r.listed) for r in got) == [(0, "", 0, None, "allow", False), (1, "a.com", 2, "com/", "allow", True), (1, "a.com", 2, "com/", "allow", True), (2, "", 0, None, "allow", False), (3, "b.net", 1_000_004, "net/es/", "block", False)]
+    assert html.main_text(pages.limit(0)).count() == urls.judge(pages.limit(0), listed.limit(0)).count() == 0
+
+
+def test_bloom_filter_of_every_size(spark):
+    assert [urls.blocks_for(n) for n in (0, 1_000, 2_000, 10**6, 10**9)] == [64, 64, 128, 65_536, 1 << 18]
+    pages = spark.range(4000).selectExpr("id as page_id", "concat('http://h', id % 97, '.org/', id) as url")
+    listed = spark.range(0, 4000, 3).selectExpr("concat('h', id % 97, '.org/', id) as canon")
+    assert {r.page_id: r.verdict for r in urls.judge(pages, listed).collect()} == {k: "allow" if k % 3 else "block" for k in range(4000)}
+
+
+def test_scores_against_plain_python(spark):
+    """Every row's score is what the fitted model gives its text alone."""
+    from tests.conftest import TINY
+
+    docs, labels = (spark.read.parquet(f"{TINY}/{n}.parquet") for n in ("documents", "labels"))
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    model = quality.train(docs, labels)
+    for r in quality.score(docs, model).collect():
+        assert abs(r.score - float(model.score([text[r.doc_id]])[0])) < 1e-9 and r.predicted == (r.score >= 0.7)
+    lexicon, w = toxicity.train(docs, labels)
+    for r in toxicity.score(docs, (lexicon, w)).collect():
+        z = sum(a * b for a, b in zip(toxicity.features(lexicon, text[r.doc_id]), w))
+        assert abs(r.score - 1 / (1 + 2.718281828459045 ** -max(-30, min(30, z)))) < 1e-9
+
+
+def test_no_table_stays_but_the_result(spark, docs, tmp_path):
+    import os
+
+    from textloom.llm.common import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    simhash.near_duplicates(docs).collect()
+    assert len(set(os.listdir(folder)) - before) == 1
