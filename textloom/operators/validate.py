@@ -38,19 +38,20 @@ def _sources(manifest: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def _identities(manifest: DataFrame, chunks: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Every id of every table, once each, summed up by id."""
-    roles = ["source", "chunk", "node", "document", "from_edge", "to_edge"]
+    roles = ["source", "chunk", "node", "document", "from_edge", "to_edge", "contains", "odd"]
 
     def said(df: DataFrame, value, **counts) -> DataFrame:
         return df.select(value.alias("id"), *(counts.get(r, F.lit(0)).cast("long").alias(r) for r in roles))
 
     one = F.lit(1)
-    ends = F.explode(F.array(F.struct(F.col("source").alias("id"), F.lit(1).alias("f"), F.lit(0).alias("t")), F.struct(F.col("target").alias("id"), F.lit(0).alias("f"), F.lit(1).alias("t"))))
+    kind = [(F.col("type") == "contains").cast("int").alias("c"), (~F.coalesce(F.col("type").isin(*EDGE_TYPES), F.lit(False))).cast("int").alias("o")]
+    ends = F.explode(F.array(F.struct(F.col("source").alias("id"), F.lit(1).alias("f"), F.lit(0).alias("t"), *kind), F.struct(F.col("target").alias("id"), F.lit(0).alias("f"), F.lit(1).alias("t"), F.lit(0).alias("c"), F.lit(0).alias("o"))))
     rows = said(manifest, F.col("source_id"), source=one).union(said(chunks, F.col("chunk_id"), chunk=one)).union(said(nodes, F.col("id"), node=one, document=(F.col("type") == "document").cast("int")))
-    rows = rows.union(said(edges.select(ends.alias("e")), F.col("e.id"), from_edge=F.col("e.f"), to_edge=F.col("e.t")))
+    rows = rows.union(said(edges.select(ends.alias("e")), F.col("e.id"), from_edge=F.col("e.f"), to_edge=F.col("e.t"), contains=F.col("e.c"), odd=F.col("e.o")))
     by = rows.groupBy("id").agg(*(F.sum(r).alias(r) for r in roles))
     return by.agg(
         _if(F.col("source") > 1).alias("unique_source_id"), _if(F.col("chunk") > 1).alias("unique_chunk_id"), _if(F.col("node") > 1).alias("unique_node_id"), _if((F.col("from_edge") > 0) & (F.col("node") == 0)).alias("dangling_source"), _if((F.col("to_edge") > 0) & (F.col("node") == 0)).alias("dangling_target"),
-        _if((F.col("document") > 0) != (F.col("source") > 0)).alias("document_nodes"), _if((F.col("chunk") > 0) & (F.col("node") == 0)).alias("chunk_nodes"),
+        F.coalesce(F.sum("odd"), F.lit(0)).alias("edge_types"), F.abs(F.coalesce(F.sum(F.col("contains") - F.col("chunk")), F.lit(0))).alias("contains_count"), _if((F.col("document") > 0) != (F.col("source") > 0)).alias("document_nodes"), _if((F.col("chunk") > 0) & (F.col("node") == 0)).alias("chunk_nodes"),
     )
 
 
@@ -60,14 +61,9 @@ def _names(manifest: DataFrame) -> DataFrame:
     return by.agg(_if((F.col("x.k") == "source_path") & (F.col("n") > 1)).alias("unique_source_path"), _if((F.col("x.k") == "output_path") & (F.col("n") > 1)).alias("unique_output_path"), F.coalesce(F.sum(F.when(F.col("x.k") == "source_path", F.col("bad"))), F.lit(0)).alias("digest_shape"))
 
 
-def _edges(chunks: DataFrame, edges: DataFrame) -> DataFrame:
-    rows = edges.select((F.col("type") == "contains").cast("int").alias("c"), (~F.col("type").isin(*EDGE_TYPES)).cast("int").alias("bad")).union(chunks.select(F.lit(-1), F.lit(0)))
-    return rows.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("edge_types"), F.abs(F.coalesce(F.sum("c"), F.lit(0))).alias("contains_count"))
-
-
 def validate(manifest: DataFrame, chunks: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """check, violations."""
-    return _rows(_sources(manifest, chunks)).union(_rows(_identities(manifest, chunks, nodes, edges))).union(_rows(_names(manifest))).union(_rows(_edges(chunks, edges)))
+    return _rows(_sources(manifest, chunks)).union(_rows(_identities(manifest, chunks, nodes, edges))).union(_rows(_names(manifest)))
 
 
 def validate_files(spark: SparkSession, root: str, manifest: DataFrame, chunks: DataFrame) -> DataFrame:
