@@ -150,3 +150,26 @@ def test_no_table_stays_but_the_result(spark, docs, tmp_path):
     before = set(os.listdir(folder))
     simhash.near_duplicates(docs).collect()
     assert len(set(os.listdir(folder)) - before) == 1
+
+
+def test_stages_with_nulls_repeats_long_rows_and_clashing_names(spark):
+    import corpus_pipeline
+
+    from tests.conftest import TINY
+
+    long = " ".join(f"w{k % 9973}x" for k in range(120_000))
+    rows = [(1, "Some plain words that make a text of its own kind."), (1, "Some plain words that make a text of its own kind."), (2, None), (3, ""), (None, "Nobody numbered this text, write to a@b.co."), (4, long), (5, long + " end"), (6, "Call +1 212 555 0100 now, all of you out there.")]
+    names = ["key", "row", "kept", "place", "least", "node", "label", "score", "path", "n", "part", "local", "length", "start", "id", "bands", "predicted", "held_out", "hit"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *["z"] * len(names)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{x} string" for x in names))
+    want = {"quality": None, "near_dedup": {1, 2, None, 4, 6}, "decontaminate": {1, 2, 3, None, 4, 5, 6}, "pii": {1, 2, 3, None, 4, 5, 6}}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, TINY)
+        got = out.collect()
+        assert out.columns == docs.columns and all(r.key == "z" and r.place == "z" for r in got)
+        assert want[name] is None or {r.doc_id for r in got} == want[name], name
+        if name == "near_dedup":
+            assert len(got) == 5
+        assert stage(spark, docs.limit(0), TINY).count() == 0
+    assert {r.text for r in corpus_pipeline.pii_stage(spark, docs, TINY).collect()} >= {None, "Call <phone> now, all of you out there."}
+    pieces = corpus_pipeline.packing_stage(spark, docs, TINY).collect()
+    assert sum(r.start == 0 for r in pieces) == len(rows) and corpus_pipeline.packing_stage(spark, docs.limit(0), TINY).count() == 0
