@@ -233,6 +233,9 @@ def test_cli(spark, tree, tmp_path, capsys):
     assert cli.main(["convert", str(tmp_path / "none"), "-o", str(tmp_path / "x")]) == 2
     assert cli.main(["convert", str(tree), "-o", str(tree)]) == 1
     assert cli.main(["convert", str(tree), "-o", str(tmp_path / "y"), "--fail-on-error"]) == 3
+    assert cli.main(["validate", str(tmp_path / "none")]) == 2 and cli.main(["validate", str(tmp_path / "y")]) == 0
+    (tmp_path / "y/documents/code.py.md").unlink()
+    assert cli.main(["validate", str(tmp_path / "y")]) == 1 and "documents_missing    1" in capsys.readouterr().out
 
 
 def test_stream(spark, tmp_path):
