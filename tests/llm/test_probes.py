@@ -148,3 +148,14 @@ def test_quotations_are_linear():
 
 def test_testable_features():
     assert toxicity.testable({1: 900, 2: 90, 9: 10}, 0.1) == 10 and toxicity.testable({5: 3}, 0.9) == 1 and toxicity.testable({50: 3}, 0.1) == 3 and toxicity.testable({}, 0.1) == 1
+
+
+def test_only_own_tables_are_deleted(spark, tmp_path):
+    mine = tmp_path / "textloom-input" / "documents.parquet"
+    spark.range(3).write.parquet(str(mine))
+    common.drop_tables(spark.read.parquet(str(mine)))
+    assert mine.exists()
+    own = common.materialize(spark.range(3).toDF("id"))
+    common.drop_tables(own)
+    with pytest.raises(Exception, match="textloom-|exist"):
+        own.count()

@@ -23,6 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Paths that materialize() has written since the innermost scratch() began.
 _written: list[set[str]] = []
+#: Names of all folders that this process has written; nothing else is ever deleted.
+_made: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,7 +43,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts the lineage and survives the loss of executors."""
-    path = f"{shared_folder(df.sparkSession)}/textloom-{uuid.uuid4().hex}"
+    name = f"textloom-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{name}"
+    _made.add(name)
     df.write.parquet(path)
     if _written:
         _written[-1].add(path)
@@ -58,7 +62,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def drop_tables(df: DataFrame) -> None:
     """Deletes the written table behind df, if materialize() made it."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/textloom-" in path:
+        if path.rsplit("/", 1)[1] in _made:
             _delete(df.sparkSession, path)
 
 
