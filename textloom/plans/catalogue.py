@@ -306,7 +306,7 @@ def subtitle_cues(spark, sf):
 
 def _values(rows: list[tuple], names: str) -> str:
     """Rows that were checked by hand, as SQL."""
-    say = lambda v: "null" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    say = lambda v: "null" if v is None else str(v).lower() if isinstance(v, bool) else f"{v}::bigint" if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
     return "select * from (values " + ", ".join("(" + ", ".join(map(say, r)) + ")" for r in rows) + f") v({names})"
 
 
