@@ -18,7 +18,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that with the smallest id (near_copies.keep_first says what nulls and repeats mean)."""
+    """One document of each group of near copies stays: that with the smallest id (near_copies.keep_first says what nulls and repeats mean).
+
+    SimHash with pivot distance tables; what they leave is joined where 5-word shingles have a Jaccard similarity of 0.8 or more.
+    """
     return near_copies.keep_first(docs)
 
 
