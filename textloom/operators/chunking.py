@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import rules
 from ..functions.columns import approx_tokens, stable_id
 from ..settings import Settings
+from .batches import map_batches
 
 PIECES = "source_id string, source_path string, ordinal long, section_path array<string>, text string"
 
@@ -18,17 +16,13 @@ PIECES = "source_id string, source_path string, ordinal long, section_path array
 def split(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """PIECES of docs (source_id, source_path, markdown); null Markdown is empty and gives none."""
     settings.validate()
-    schema = T._parse_datatype_string(PIECES)
-    arrow = to_arrow_schema(schema)
     a, b, c = settings.chunk_chars, settings.overlap_chars, settings.min_chunk_chars
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                out = [(i, p, k, [*path], text) for i, p, md in zip(*(x.to_pylist() for x in batch.slice(at, 256).columns)) for k, (path, text) in enumerate(rules.chunks(md or "", a, b, c))]
-                yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*out) if out else [[]] * 5, arrow)], schema=arrow)
+    def pieces(*columns):
+        out = [(i, p, k, [*path], text) for i, p, md in zip(*columns) for k, (path, text) in enumerate(rules.chunks(md or "", a, b, c))]
+        return zip(*out) if out else [[]] * 5
 
-    return docs.select("source_id", "source_path", "markdown").mapInArrow(run, schema)
+    return map_batches(docs.select("source_id", "source_path", "markdown"), pieces, PIECES)
 
 
 def chunk_table(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -42,9 +36,8 @@ def chunk_table(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 def section_table(docs: DataFrame) -> DataFrame:
     """source_id, section (from 0), section_path, text: the sections that split() cuts into windows."""
 
-    def run(batches):
-        for batch in batches:
-            out = [(i, k, [*path], text) for i, md in zip(*(c.to_pylist() for c in batch.columns)) for k, (path, text) in enumerate(rules.sections(md or ""))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.list_(pa.string()), pa.string()))], names=["source_id", "section", "section_path", "text"])
+    def parts(*columns):
+        out = [(i, k, [*path], text) for i, md in zip(*columns) for k, (path, text) in enumerate(rules.sections(md or ""))]
+        return zip(*out) if out else [[]] * 4
 
-    return docs.select("source_id", "markdown").mapInArrow(run, "source_id string, section long, section_path array<string>, text string")
+    return map_batches(docs.select("source_id", "markdown"), parts, "source_id string, section long, section_path array<string>, text string")
